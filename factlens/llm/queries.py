@@ -43,6 +43,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -56,6 +62,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("score"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
