@@ -24,6 +24,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, "quality")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
