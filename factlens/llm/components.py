@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,10 +23,50 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps survive the loss of any executor."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back: later steps survive the loss of any executor.
+
+    What the table was made from is then garbage; collecting it lets Spark delete the
+    shuffle files at once, so disk holds those of one step at a time.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of saved() that no later step reads."""
+    jvm = table.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table.table_path)
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits in a sieve: its size, 2 MB, does not depend on the data.
+SIEVE = 1 << 24
+
+
+def sieve(values: DataFrame) -> np.ndarray:
+    """A bit table of a column of longs. A value whose bit is not set is not among them; one whose bit is set may not be either.
+
+    It only spares rows the way into a join and never decides one; when it fills up, it spares less.
+    """
+    bit = F.col(values.columns[0]).bitwiseAND(SIEVE - 1)
+    parts = values.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    out = np.zeros(SIEVE + 32768, bool)
+    for r in parts.collect():
+        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        first = (r["bucket"] - 1) * 32768 + 1 if r["bucket"] > 0 else 0
+        out[first : first + len(own)] |= own.astype(bool)
+    return np.packbits(out, bitorder="little")
+
+
+def in_sieve(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.int64) & (SIEVE - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def forest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +105,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v")
     e = saved(e.mapInArrow(forest, "u long, v long").distinct())
-    before = None
     for _ in range(rounds):
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or (state["n"], state["h"]) == before:
+        # done when the edges are stars: one edge for each u, and no centre that is itself a u
+        state = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
+        if state["n"] == state["u"] and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = (state["n"], state["h"])
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -6,7 +6,11 @@ of each group the first line by (doc_id, line number) stays.
 
 The bands: R rows in each of B; a pair at the threshold 0.8 shares one with probability
 1 - (1 - 0.8 ** R) ** B, here 0.995, and 0.9999 at 0.9. Equal lines (A-Z lower-cased)
-always meet: they have the same hash and are never compared.
+always meet: they have the same hash and are never compared. Of lines that share a band,
+all pairs not connected yet are compared where up to FREQUENT lines share it. A band that
+more share is worked off by leaders, each time another line of its largest group, until
+no comparison connects anything: comparing thousands of like lines each with each would
+grow with the square of their number.
 
 Edge cases: a null text has no lines; blank lines (nothing but ASCII white space) always
 stay and belong to no group; a line shorter than a shingle is one shingle; rows repeated
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import saved
+from .components import in_sieve, saved, sieve
 from .jaccard import settle
 
 WIDTH = 7
@@ -31,7 +35,6 @@ R, B = 4, 10
 _LEAD = (np.arange(256) & 0xC0) != 0x80
 _random = np.random.RandomState(99)
 _TIMES = (_random.randint(0, 1 << 31, R * B, dtype=np.int64) * 2 + 1).astype(np.uint32)
-_PLUS = _random.randint(0, 1 << 32, R * B, dtype=np.int64).astype(np.uint32)
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,13 +49,40 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def char_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of `width` code points within spans, and the span of each; a shorter span is one window."""
-    lead = np.flatnonzero(_LEAD[data])
-    places = np.append(lead, len(data))
-    first, last = np.searchsorted(lead, start), np.searchsorted(lead, end)
-    n = np.maximum(last - first - width + 1, 1)
+    code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if not data.size or len(code) != np.count_nonzero(_LEAD[data]):
+        raise ValueError("text is not valid UTF-8")
+    first = start
+    if len(code) != len(data):
+        lead = np.concatenate([[0], np.cumsum(_LEAD[data])])
+        first, end = lead[start], lead[end]
+    n = np.maximum(end - first - width + 1, 1)
     span = np.repeat(np.arange(len(start)), n)
-    at = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n) + first[span]
-    return K.Rolling(data).spans(places[at], np.minimum(places[np.minimum(at + width, len(lead))], end[span])), span
+    at = np.arange(len(span)) - np.repeat(np.cumsum(n) - n - first, n)
+    low, high = np.zeros(len(code), np.uint32), np.zeros(len(code), np.uint32)
+    for k in range(width):  # Horner's rule in two moduli, for all places at once; what lies beyond the end counts as 0
+        m = len(code) - k
+        if m <= 0:
+            break
+        low *= _A
+        high *= _C
+        low[:m] += code[k:]
+        high[:m] ^= code[k:] + _B
+    out = (high.astype(K.U64) << K.U64(32)) | low
+    short = (end - first) < width
+    out = K.mix(out[at])
+    if short.any():  # too short for a window: the hash of the span itself
+        where = np.cumsum(n) - n
+        out[where[short]] = K.Rolling(data).spans(start[short], _byte_end(data, start[short], (end - first)[short]))
+    return out, span
+
+
+_A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x7F4A7C15), np.uint32(0x85EBCA6B)
+
+
+def _byte_end(data: np.ndarray, start: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    places = np.append(np.flatnonzero(_LEAD[data]), len(data))
+    return places[np.searchsorted(places, start) + chars]
 
 
 def char_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +98,10 @@ def bands(values: np.ndarray, span: np.ndarray, n: int) -> np.ndarray:
     """The B band keys of each of n spans; each span has a value."""
     at = np.searchsorted(span, np.arange(n))
     x = (values >> K.U64(32)).astype(np.uint32)
-    keys = np.zeros((n, B), K.U64)
+    keys, turned = np.zeros((n, B), K.U64), np.empty_like(x)
     for k in range(R * B):
-        least = np.minimum.reduceat((x ^ _PLUS[k]) * _TIMES[k], at)
+        np.multiply(x, _TIMES[k], out=turned)
+        least = np.minimum.reduceat(turned, at)
         keys[:, k // R] = keys[:, k // R] * K.U64(0x9E3779B97F4A7C15) + least + K.U64(1)
     return K.mix(keys + np.arange(B, dtype=K.U64) * K.U64(0xD1B54A32D192ED03))
 
@@ -107,25 +138,31 @@ def _occurrences(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np
     return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids[row]), pa.array(number.astype(np.int32))], ["line", "doc_id", "line_no"])
 
 
-def _texts(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    start, end, _, _ = lines_of(data, offsets)
-    own, first = np.unique(K.Rolling(data).spans(start, end), return_index=True)
-    start, end = start[first], end[first]
-    text = [raw[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(text, pa.string())], ["set", "text"])
+def _texts(bits: np.ndarray):
+    """Lines whose hash may be one that is asked for, each once for a chunk."""
+
+    def make(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        start, end, _, _ = lines_of(data, offsets)
+        own, first = np.unique(K.Rolling(data).spans(start, end), return_index=True)
+        wanted = in_sieve(bits, own.view(np.int64))
+        own, start, end = own[wanted], start[first[wanted]], end[first[wanted]]
+        text = [raw[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(text, pa.string())], ["set", "text"])
+
+    return make
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """line, component for every line (by hash) that is alike to another but not equal."""
     by_band = Window.partitionBy("tok")
     lists = _per_chunk(docs, _signatures, "tok long, set long").withColumn("lead", F.min("set").over(by_band)).withColumn("last", F.max("set").over(by_band))
-    lists = lists.where("lead <> last").select("tok", "set", F.lit(0).alias("n"), F.lit(0).alias("rank"), "lead", F.lit(0).alias("n_lead"), F.lit(False).alias("often"), F.lit(True).alias("deep"))
-    lists = saved(lists.dropDuplicates(["tok", "set"]))
+    lists = lists.where("lead <> last").dropDuplicates(["tok", "set"]).select("tok", "set", F.lit(0).alias("n"), F.lit(0).alias("rank"), "lead", F.lit(0).alias("n_lead"), F.lit(0).alias("k"), F.lit(False).alias("often"), F.lit(True).alias("deep"))
+    lists = saved(lists)
 
     def texts_of(sets: DataFrame) -> DataFrame:
-        return _per_chunk(docs, _texts, "set long, text string").join(sets, "set", "left_semi").dropDuplicates(["set"])
+        return _per_chunk(docs, _texts(sieve(sets)), "set long, text string").join(sets, "set", "left_semi").dropDuplicates(["set"])
 
-    return settle(lists, texts_of, char_sets).select(F.col("node").alias("line"), "component")
+    return settle(lists, texts_of, char_sets, exhaustive=False, leaders=8).select(F.col("node").alias("line"), "component")
 
 
 def judge(docs: DataFrame) -> DataFrame:
