@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import components, saved
+from .components import components, discard, in_sieve, saved, sieve
 
 WIDTH = 5
 #: A list with more entries than this is frequent.
 FREQUENT = 64
+#: How often what is outside a long list's main component is compared with a leader before all pairs still open are.
+LEADERS = 1
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -123,69 +125,139 @@ def links(measured: DataFrame, percent: int = 80) -> DataFrame:
     return measured.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
 
-def settle(lists: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable, percent: int = 80) -> DataFrame:
-    """node, component of the sets that link, for candidate lists(tok, set, n, rank, lead, n_lead, often, deep).
+def shared(n_x: Column, n_y: Column) -> Column:
+    """How many of the listed elements two sets that link must share.
 
-    Links of all pairs that share a list are found up to connection: first each set against
-    the leader of its lists, then all pairs of a list that are still in different
+    They have at least 4/9 of their summed sizes in common, of which those beyond the
+    reserve of the set whose reserve ends first may not be listed for both.
+    """
+    return F.ceil((n_x + n_y) * 4 / 9) - F.greatest(n_x - reserve(n_x), n_y - reserve(n_y))
+
+
+def least_shared(n: Column) -> Column:
+    """The least of shared(n, m) over all sizes m that can link with n: a set in fewer lists has no link to find."""
+    return F.greatest(F.least(shared(n, F.ceil(n * 0.8)), shared(n, F.floor(n * 1.25))) - 1, F.lit(1))
+
+
+def needed(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Lists that a pair must share: a pair without a deep set is not looked for in the frequent ones."""
+    return F.greatest(shared(x("n"), y("n")) - F.when(x("deep") | y("deep"), 0).otherwise(F.least(x("k"), y("k"))), F.lit(1))
+
+
+def settle(lists: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable, percent: int = 80, need: Callable | None = None, exhaustive: bool = True, leaders: int = LEADERS) -> DataFrame:
+    """node, component of the sets that link, for candidate lists(tok, set, n, rank, lead, n_lead, k, often, deep).
+
+    Links of all pairs that share enough lists are found up to connection: first each set
+    against the leader of its lists, then all pairs of a list that are still in different
     components, as far as size, position and differences from the leader leave them open.
     Of a list marked `often`, only pairs with at least one `deep` set are looked at.
+    need(x, y) is the number of lists that a pair must share, 1 if not given. Without
+    `exhaustive`, lists of more than FREQUENT rows are left to leaders.
     texts_of(sets) gives set, text for a table of sets. n = 0 stands for a size not known.
     """
     fits = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    star = lists.where("set <> lead and (deep or not often)").where(fits(F.col("n"), F.col("n_lead")))
-    pairs = saved(star.select(F.col("set").alias("a"), F.col("lead").alias("b")).distinct())
-    texts = saved(texts_of(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()))
-    measured = saved(overlaps(pairs, texts, sets))
-    edges = links(measured, percent).select("a", "b")
-    found = components(edges)
-
-    placed = lists.join(found.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
+    c = F.col
     by_list = Window.partitionBy("tok")
-    placed = placed.withColumn("least", F.min("comp").over(by_list)).withColumn("most", F.max("comp").over(by_list)).withColumn("main", F.min(F.struct("n", "set", "comp")).over(by_list)["comp"]).where("least <> most")
-    apart = measured.select(F.col("a").alias("set"), F.col("b").alias("lead"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("differs"))
-    placed = placed.join(apart, ["set", "lead"], "left").withColumn("differs", F.when(F.col("set") == F.col("lead"), 0).otherwise(F.col("differs")))
-    # the first set's component is the list's main one; every open pair has a set outside it
-    placed = saved(placed.select("tok", "set", "n", "rank", "comp", "main", "lead", "differs", "often", "deep"))
+
+    def measure(star: DataFrame, known: DataFrame | None, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Overlaps of pairs (a, b) not known yet, and the texts so far."""
+        if known is not None:
+            star = star.join(known.select("a", "b").union(known.select(c("b").alias("a"), c("a").alias("b"))), ["a", "b"], "left_anti")
+        star = saved(star.select("a", "b"))
+        wanted = star.select(c("a").alias("set")).union(star.select("b")).distinct()
+        if texts is None:
+            texts = saved(texts_of(wanted))
+        else:
+            missing = saved(wanted.join(texts, "set", "left_anti"))
+            texts = texts if missing.isEmpty() else texts.union(saved(texts_of(missing)))
+        return saved(overlaps(star, texts, sets)), texts
+
+    def with_leader(rows: DataFrame) -> DataFrame:
+        """Pairs of a set with the leader of its lists, if they share enough of these."""
+        star = rows.where(fits(c("n"), c("n_lead"))).groupBy(c("set").alias("a"), c("lead").alias("b")).agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("n_lead").alias("n_lead"))
+        return star if need is None else star.where(3 * c("lists") >= shared(c("n"), c("n_lead")))
+
+    measured, texts = measure(with_leader(lists.where("set <> lead and (deep or not often)")), None, None)
+    found = components(links(measured, percent).select("a", "b"))
+    for turn in range(leaders + 1):
+        group = found.groupBy("component").agg(F.count("*").alias("members"))
+        known = found.join(group, "component").select(c("node").alias("set"), c("component").alias("comp"), "members")
+        placed = lists.join(known, "set", "left").withColumn("comp", F.coalesce("comp", "set")).withColumn("members", F.coalesce("members", F.lit(1)))
+        # a list's main component is its largest one; every open pair has a set outside it
+        main = F.min(F.struct((-c("members")).alias("less"), "comp", F.xxhash64("set", F.lit(turn)).alias("h"), "set", "n"))
+        over = {"least": F.min("comp"), "most": F.max("comp"), "main": main, "any_deep": F.max("deep"), "rows": F.count("*")}
+        for name, value in over.items():
+            placed = placed.withColumn(name, value.over(by_list))
+        placed = placed.where("least <> most and (any_deep or not often)").withColumn("pick", c("main.set")).withColumn("n_pick", c("main.n")).withColumn("main", c("main.comp"))
+        placed = saved(placed.drop("least", "most", "any_deep", "members"))
+        # in long lists with many open pairs, what is outside meets another set of the main component first
+        load = placed.where(c("rows") > FREQUENT).agg(F.sum(F.when(c("comp") != c("main"), c("rows").cast("double"))).alias("pairs"), F.count("*").alias("rows")).first()
+        if turn == leaders or (load["pairs"] or 0) <= 20 * load["rows"]:
+            break
+        again = placed.where((c("rows") > FREQUENT) & (c("comp") != c("main")) & (c("deep") | ~c("often"))).drop("lead", "n_lead").withColumnsRenamed({"pick": "lead", "n_pick": "n_lead"})
+        more, texts = measure(with_leader(again), measured, texts)
+        discard(placed)
+        edges = links(more, percent).select("a", "b")
+        measured = measured.unionByName(more)
+        if 50 * edges.count() < more.count():
+            leaders = turn + 1  # hardly a link: the next turn is the last
+        found = components(found.where("node <> component").select(c("node").alias("a"), c("component").alias("b")).union(edges))
+    open_ = placed
+    if not exhaustive:
+        placed = placed.where(c("rows") <= FREQUENT)
+    apart = measured.select(c("a").alias("set"), c("b").alias("lead"), (c("n_a") + c("n_b") - 2 * c("common")).alias("differs"))
+    placed = placed.join(apart, ["set", "lead"], "left").withColumn("differs", F.when(c("set") == c("lead"), 0).otherwise(c("differs")))
+    placed = placed.select("tok", "set", "n", "rank", "k", "comp", "main", "lead", "differs", "often", "deep")
+    if need is not None:
+        left = placed.groupBy("set").agg(F.count("*").alias("open"))
+        placed = placed.join(left, "set").where(c("open") + F.when(c("deep"), 0).otherwise(c("k")) >= least_shared(c("n"))).drop("open")
+    placed = saved(placed)
+    discard(open_)
     x, y = placed.where("comp <> main").alias("x"), placed.alias("y")
-    c = lambda name: F.col(name)
     # overlap needed: at least percent / (100 + percent) of the summed sizes
-    total, upper = c("x.n") + c("y.n"), F.least(c("x.rank"), c("y.rank")) + 1 + F.least(c("x.n") - c("x.rank"), c("y.n") - c("y.rank")) - 1
+    total, upper = c("x.n") + c("y.n"), F.least(c("x.rank"), c("y.rank")) + F.least(c("x.n") - c("x.rank"), c("y.n") - c("y.rank"))
     most_apart = total * (100 - percent) / (100 + percent)
     far = F.when((c("x.lead") == c("y.lead")) & (c("x.n") > 0) & (c("y.n") > 0), F.abs(c("x.differs") - c("y.differs")) > most_apart)
     open_pair = (c("x.tok") == c("y.tok")) & (c("x.comp") != c("y.comp")) & fits(c("x.n"), c("y.n")) & ((100 + percent) * upper >= percent * total) & ~F.coalesce(far, F.lit(False)) & (~c("x.often") | c("x.deep") | c("y.deep"))
     # of two outsiders only one order is kept
     open_pair = open_pair & ((c("y.comp") == c("y.main")) | (c("x.set") < c("y.set")))
-    rest = x.join(y, open_pair).select(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b")).distinct()
+    least = need(lambda f: c(f"x.{f}"), lambda f: c(f"y.{f}")) if need else F.lit(1)
+    rest = x.join(y, open_pair).groupBy(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b"), least.alias("need")).agg(F.count("*").alias("lists")).where("lists >= need").select("a", "b")
     known = measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = saved(rest.join(known, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
+    more, _ = measure(rest, known, texts)
+    more = links(more, percent).select("a", "b")
+    if more.isEmpty():
         return found
-    wanted = rest.select(F.col("a").alias("set")).union(rest.select("b")).distinct()
-    missing = wanted.join(texts, "set", "left_anti")
-    texts = texts if missing.isEmpty() else texts.union(texts_of(missing))
-    more = links(overlaps(rest, texts, sets), percent).select("a", "b")
-    return components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return components(found.where("node <> component").select(c("node").alias("a"), c("component").alias("b")).union(more))
 
 
 def join(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach, itself included."""
     by_list = Window.partitionBy("tok")
-    rows = postings(docs).withColumn("size", F.count("*").over(by_list)).withColumn("first", F.min(F.struct("n", "set")).over(by_list)).withColumn("last", F.max("set").over(by_list)).withColumn("least", F.min("set").over(by_list))
-    rows = saved(rows.where("rank = -1 or least <> last").select("tok", "set", "n", "rank", "size", F.col("first.set").alias("lead"), F.col("first.n").alias("n_lead")))
-    members = rows.where("rank = -1").select(F.col("set").alias("doc_id"), F.col("tok").alias("set"), "n", F.col("lead").alias("first_id"))
-    lists = rows.where("rank >= 0").withColumn("often", F.col("size") > frequent).dropDuplicates(["tok", "set"])
-    # sets whose reserve of other elements does not make up for the frequent ones
-    short = lists.where("often").groupBy("set", "n").agg(F.count("*").alias("k")).where(F.col("k") > reserve(F.col("n")) - head(F.col("n"))).select("set", F.lit(True).alias("deep"))
-    lists = lists.join(short, "set", "left").withColumn("deep", F.coalesce("deep", F.lit(False))).where(~F.col("often") | (F.col("rank") < head(F.col("n"))))
-    lists = saved(lists.select("tok", "set", "n", "rank", "lead", "n_lead", "often", "deep"))
+    rows = postings(docs).withColumn("size", F.count("*").over(by_list)).withColumn("first", F.min(F.struct("set", "n")).over(by_list)).withColumn("last", F.max("set").over(by_list)).withColumn("least", F.min("set").over(by_list))
+    rows = rows.where("rank = -1 or least <> last").select("tok", "set", "n", "rank", "size", F.col("first.set").alias("lead"), F.col("first.n").alias("n_lead"))
+    rows = saved(rows.dropDuplicates(["tok", "set", "rank"]))
+    members = saved(rows.where("rank = -1").select(F.col("set").alias("doc_id"), F.col("tok").alias("set"), "n", F.col("lead").alias("first_id")))
+    lists = rows.where("rank >= 0").withColumn("often", F.col("size") > frequent).drop("size")
+    # a set is deep if its reserve of other elements does not make up for its frequent ones
+    shares = lists.groupBy("set", "n").agg(F.count_if("often").cast("int").alias("k"), F.count("*").alias("lists")).where(F.col("lists") >= least_shared(F.col("n"))).select("set", "k")
+    lists = lists.join(shares, "set").withColumn("deep", F.col("k") > reserve(F.col("n")) - head(F.col("n")))
+    lists = saved(lists)
+    discard(rows)
 
     def texts_of(sets: DataFrame) -> DataFrame:
         ids = members.where("doc_id = first_id").join(sets, "set", "left_semi").select("doc_id", "set").dropDuplicates(["doc_id"])
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+        bits = sieve(ids.select("doc_id"))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_sieve(bits, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+
+        some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(pick, "doc_id long, text string")
+        one = some.join(ids, "doc_id")
         return one.dropDuplicates(["set"]).select("set", "text")
 
-    found = settle(lists, texts_of, sets_of)
+    found = settle(lists, texts_of, sets_of, need=needed)
     placed = members.join(found.withColumnRenamed("node", "set"), "set", "left")
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "first_id").alias("component_id"))
