@@ -50,19 +50,36 @@ def _errors(name: Column, arguments: Column, schemas: dict) -> Column:
 def levels(calls: DataFrame) -> DataFrame:
     """id, level for calls(id, after): 0 without predecessors among the calls, else one more than the highest of theirs.
 
-    A round settles the calls of one more level with joins on identifiers, so there are as many rounds as the
-    longest chain; calls on a cycle, or behind one, get no row.
+    Chains of calls with one predecessor each are first contracted by pointer doubling, in as many joins as
+    the logarithm of their length; then each round settles one more level of calls with several
+    predecessors. Calls on a cycle, or behind one, get no row.
     """
-    waits = calls.select("id", F.explode(F.array_distinct("after")).alias("on")).join(calls.select(F.col("id").alias("on")), "on", "left_semi")
-    settled = saved(calls.select("id").join(waits, "id", "left_anti").select("id", F.lit(0).alias("level")))
-    waits, out, level = saved(waits), settled, 0
-    while not settled.isEmpty() and not waits.isEmpty():
-        level += 1
-        open_ = waits.join(settled.select(F.col("id").alias("on")), "on", "left_anti")
-        ready = waits.select("id").distinct().join(open_.select("id").distinct(), "id", "left_anti")
-        settled, waits = saved(ready.select("id", F.lit(level).alias("level"))), saved(open_)
-        out = out.union(settled)
-    return out
+    ids = saved(calls.select("id").where("id is not null").distinct())
+    waits = calls.select("id", F.explode(F.array_distinct("after")).alias("on")).join(ids.select(F.col("id").alias("on")), "on", "left_semi").select("id", "on").distinct()
+    waits = saved(waits)
+    several = waits.groupBy("id").agg(F.count("*").alias("n"), F.first("on").alias("on"))
+    steps = ids.join(several, "id", "left")
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    steps = saved(steps.select("id", F.when(one, F.col("on")).otherwise(F.col("id")).alias("to"), F.when(one, 1).otherwise(0).alias("far"), (~one).alias("done")))
+    left = None
+    while (open_ := steps.where("not done").count()) not in (0, left):
+        left = open_
+        next_ = steps.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
+        jumped = steps.where("not done").join(next_, "to").select("id", F.col("to2").alias("to"), (F.col("far") + F.col("far2")).alias("far"), F.col("done2").alias("done"))
+        steps = saved(steps.where("done").unionByName(jumped))
+    steps = steps.where("done").drop("done")  # pointers that never arrive are on a cycle or behind one
+    roots = several.where("n > 1").select("id")
+    behind = waits.join(roots, "id", "left_semi").join(steps.select(F.col("id").alias("on"), "to", "far"), "on", "left")
+    behind = saved(behind.select("id", "to", "far"))
+    known = saved(ids.join(waits.select("id"), "id", "left_anti").select(F.col("id").alias("to"), F.lit(0).alias("level")))
+    while True:
+        open_ = behind.join(known.select(F.col("to").alias("id")), "id", "left_anti")
+        best = open_.join(known, "to", "left").groupBy("id").agg(F.max(F.col("level") + F.col("far") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("all"))
+        new = saved(best.where("all").select(F.col("id").alias("to"), "level"))
+        if new.isEmpty():
+            break
+        known = saved(known.union(new))
+    return steps.join(known, "to").select("id", (F.col("level") + F.col("far")).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:

@@ -125,13 +125,15 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple
     log-odds of "good" after the votes -1, 0 and 1. A rule is taken to be better than chance (a vote for bad is
     never evidence of good, nor the other way round, and an abstention is no evidence), which fixes which class is "good".
     """
-    k = len(patterns[0][0]) if patterns else 0
+    if not patterns:
+        return 0.9, []
+    k = len(patterns[0][0])
     votes = np.array([p for p, _ in patterns], int).reshape(-1, k)
     counts = np.array([c for _, c in patterns], float)
     prior = np.array([START["bad"], START["good"]])
     share, table = 0.9, np.repeat(prior[:, None, :], k, 1)
     odds = _odds(table)
-    for _ in range(rounds if len(patterns) else 0):
+    for _ in range(rounds):
         logit = np.log(share / (1 - share)) + odds[np.arange(k), votes + 1].sum(1)
         good = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         share = float(np.clip((counts @ good + 9) / (counts.sum() + 10), 0.05, 0.99))
