@@ -99,7 +99,7 @@ class Bpe:
                 before, a = made_a, self.parts[a][1]
             else:  # of equal merges the left one comes first
                 before, b = made_b + 1, self.parts[b][0]
-        if len(self.pairs) > 4 * CACHE:
+        if len(self.pairs) > 3 * CACHE:
             self.pairs.clear()
         self.pairs[left, right] = stands
         return stands
@@ -194,6 +194,10 @@ class Bpe:
                 at = m.end()
         return out
 
+    def forget(self) -> None:
+        """Give back what was remembered: a worker that goes on with other tasks does not keep it."""
+        self.chunks, self.pieces, self.pairs = {}, {}, {}
+
     def known(self, chunks: list[str]) -> list[tuple[str, str, int]]:
         get = self.chunks.get
         return [get(c) or self.chunk(c) for c in chunks]
@@ -241,5 +245,6 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True) -> DataF
             if keep_ids:
                 cols, names = [*cols, pa.array(ids_out, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        model.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

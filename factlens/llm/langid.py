@@ -182,27 +182,45 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("text")
-            data, offsets = K.utf8(column)
-            letters = has_letter(column, data, offsets)
-            for a, b in K.chunks(offsets, 1 << 18):
-                at = offsets[a : b + 1]
-                total = np.zeros((b - a, len(net.languages)))
-                for lo in range(0, 1 + int((at[-1] - at[0]) // WINDOW) + (b - a), 4096):
-                    codes, row, size = _some(data, at, lo, 4096)
-                    if not len(row):
-                        break
-                    np.add.at(total, row, net.predict(codes) * size[:, None])
-                total /= np.maximum(total.sum(1, keepdims=True), 1e-9)
-                best = total.argmax(1)
-                known = letters[a:b] & (net.languages != [UNKNOWN])
-                pred = [net.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
-                score = np.where(known, np.clip(total[np.arange(b - a), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            pred, score = judge_texts(batch.column("text"), net)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def judge_texts(column: pa.Array, net: Network) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a column."""
+    data, offsets = K.utf8(column)
+    letters = has_letter(column, data, offsets)
+    pred: list[str] = []
+    scores = np.zeros(len(column))
+    for a, b in K.chunks(offsets, 1 << 18):
+        at = offsets[a : b + 1]
+        total = np.zeros((b - a, len(net.languages)))
+        for lo in range(0, 1 + int((at[-1] - at[0]) // WINDOW) + (b - a), 4096):
+            codes, row, size = _some(data, at, lo, 4096)
+            if not len(row):
+                break
+            np.add.at(total, row, net.predict(codes) * size[:, None])
+        total /= np.maximum(total.sum(1, keepdims=True), 1e-9)
+        best = total.argmax(1)
+        known = letters[a:b] & (net.languages != [UNKNOWN])
+        pred += [net.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
+        scores[a:b] = np.where(known, np.clip(total[np.arange(b - a), best], 0, 1), 0.0)
+    return pred, scores
+
+
+def keep_known(docs: DataFrame, net: Network, least: float) -> DataFrame:
+    """The documents whose language is known with at least this score; rows pass through in place, without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score = judge_texts(batch.column("text"), net)
+            yield batch.filter(pa.array((np.array(pred, object) != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _some(data: np.ndarray, offsets: np.ndarray, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows first to first + n of the rows."""
     size = np.diff(offsets)
