@@ -47,8 +47,11 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, end, row, breaks[start] - breaks[offsets[row]]
 
 
-def char_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of `width` code points within spans, and the span of each; a shorter span is one window."""
+def char_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of `width` code points within spans, and the span of each; a shorter span is one window.
+
+    64 bits, with which sets are compared, or without `exact` 32 bits, enough for signatures.
+    """
     code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     if not data.size or len(code) != np.count_nonzero(_LEAD[data]):
         raise ValueError("text is not valid UTF-8")
@@ -59,21 +62,28 @@ def char_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: i
     n = np.maximum(end - first - width + 1, 1)
     span = np.repeat(np.arange(len(start)), n)
     at = np.arange(len(span)) - np.repeat(np.cumsum(n) - n - first, n)
-    low, high = np.zeros(len(code), np.uint32), np.zeros(len(code), np.uint32)
-    for k in range(width):  # Horner's rule in two moduli, for all places at once; what lies beyond the end counts as 0
+    low, high = np.zeros(len(code), np.uint32), np.zeros(len(code) if exact else 0, np.uint32)
+    for k in range(width):  # Horner's rule, for all places at once; what lies beyond the end counts as 0
         m = len(code) - k
         if m <= 0:
             break
         low *= _A
-        high *= _C
         low[:m] += code[k:]
-        high[:m] ^= code[k:] + _B
-    out = (high.astype(K.U64) << K.U64(32)) | low
+        if exact:
+            high *= _C
+            high[:m] ^= code[k:] + _B
     short = (end - first) < width
-    out = K.mix(out[at])
+    if exact:
+        out = K.mix(((high.astype(K.U64) << K.U64(32)) | low)[at])
+    else:
+        out = low[at]
+        out ^= out >> np.uint32(15)
+        out *= _C
+        out ^= out >> np.uint32(13)
     if short.any():  # too short for a window: the hash of the span itself
         where = np.cumsum(n) - n
-        out[where[short]] = K.Rolling(data).spans(start[short], _byte_end(data, start[short], (end - first)[short]))
+        whole = K.Rolling(data).spans(start[short], _byte_end(data, start[short], (end - first)[short]))
+        out[where[short]] = whole if exact else (whole >> K.U64(32)).astype(np.uint32)
     return out, span
 
 
@@ -95,9 +105,9 @@ def char_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(values: np.ndarray, span: np.ndarray, n: int) -> np.ndarray:
-    """The B band keys of each of n spans; each span has a value."""
+    """The B band keys of each of n spans from 32-bit values; each span has one."""
     at = np.searchsorted(span, np.arange(n))
-    x = (values >> K.U64(32)).astype(np.uint32)
+    x = values
     keys, turned = np.zeros((n, B), K.U64), np.empty_like(x)
     for k in range(R * B):
         np.multiply(x, _TIMES[k], out=turned)
@@ -127,7 +137,7 @@ def _signatures(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np.
     own, first = np.unique(K.Rolling(data).spans(start, end), return_index=True)
     keys = np.zeros((0, B), K.U64)
     if len(own):
-        values, span = char_shingles(data, start[first], end[first])
+        values, span = char_shingles(data, start[first], end[first], exact=False)
         keys = bands(values, span, len(own))
     return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own, B).view(np.int64))], ["tok", "set"])
 
@@ -167,7 +177,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, kept for every line with a word: whether it is the first of its group."""
-    seen = _per_chunk(docs, _occurrences, "line long, doc_id long, line_no int")
+    seen = saved(_per_chunk(docs, _occurrences, "line long, doc_id long, line_no int"))
     firsts = seen.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("uses"))
     placed = saved(firsts.join(groups(docs), "line", "left").withColumn("component", F.coalesce("component", "line")))
     of_group = placed.groupBy("component").agg(F.min("first").alias("first"), F.sum("uses").alias("uses")).where("uses > 1")
