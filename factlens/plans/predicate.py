@@ -138,9 +138,9 @@ def _document(a: dict) -> Column:
     return out.otherwise(True)
 
 
-def compile_predicate(p: Pred | str, as_of: Column) -> Column:
+def compile_predicate(p: Pred | str | dict, as_of: Column) -> Column:
     """The composite verdict."""
-    p = parse(p) if isinstance(p, str) else p
+    p = p if isinstance(p, Pred) else parse(p)
     if p.op == "not":
         return ~compile_predicate(p.inside[0], as_of)
     if p.op in ("all_of", "any_of"):
