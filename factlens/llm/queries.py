@@ -84,7 +84,29 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-SQL: dict[str, str] = {}
+#: op2: identifiers are not repeated in the driver's table, so the only error is a missing result.
+_OP2 = """
+WITH RECURSIVE u AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
+l(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0 FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.conv_id = u.conv_id AND v.turn = u.turn - 2)
+  UNION ALL SELECT u.conv_id, u.turn, l.level + 1 FROM l JOIN u ON u.conv_id = l.conv_id AND u.turn = l.turn + 2)
+SELECT u.conv_id, u.turn, 'call-' || u.conv_id || '-' || u.turn AS id, l.level, a.turn AS result_turn,
+  CASE WHEN a.turn IS NULL THEN 'no result' ELSE '' END AS errors, a.turn IS NOT NULL AS valid,
+  '{"arguments":{' || CASE WHEN u.turn >= 2 THEN '"after":"call-' || u.conv_id || '-' || (u.turn - 2) || '",' ELSE '' END || '"prompt":' || CAST(to_json(u.text) AS VARCHAR)
+  || ',"turn":' || u.turn || '},"id":"call-' || u.conv_id || '-' || u.turn || '","name":"reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS json
+FROM u JOIN l USING (conv_id, turn) LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1"""
+
+_OP10 = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+k AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, k.y FROM r JOIN k ON r.other = k.x)
+SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2"""
+
+SQL: dict[str, str] = {"op2_chat_format": _OP2, "op10_ngram_jaccard": _OP10}
 
 
 def oracle_sql() -> dict[str, str]:
