@@ -197,7 +197,7 @@ def finding_from_mark(marks: DataFrame) -> DataFrame:
 def trailer_state(trailers: Column, key: str) -> Column:
     """The first trailer with the key in any case: absent, empty or present."""
     found = F.filter(trailers, lambda t: F.startswith(F.lower(t), F.lit(key.lower() + ":")))
-    value = F.trim(F.substring(found[0], len(key) + 2, 1_000_000))
+    value = F.trim(F.substring(F.get(found, F.lit(0)), len(key) + 2, 1_000_000))
     return F.when(F.size(found) == 0, "absent").when(value == "", "empty").otherwise("present")
 
 

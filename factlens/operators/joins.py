@@ -112,7 +112,7 @@ def rekey(edges: DataFrame, classes: DataFrame, name: str, path: str) -> tuple[D
     """
     places = classes.groupBy(F.col("type_name").alias("_name")).agg(F.collect_set("canonical_path").alias("_paths"))
     joined = edges.join(places, edges[name] == places["_name"], "left")
-    stamped = joined.withColumn(path, F.when(F.size("_paths") == 1, F.col("_paths")[0]).otherwise(F.col(path))).drop("_name", "_paths")
+    stamped = joined.withColumn(path, F.when(F.size("_paths") == 1, F.get("_paths", F.lit(0))).otherwise(F.col(path))).drop("_name", "_paths")
     ambiguous = joined.where("size(_paths) > 1").select(F.col(name).alias("name"), F.array_sort("_paths").alias("members")).distinct()
     return stamped, ambiguous
 

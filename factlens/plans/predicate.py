@@ -94,7 +94,8 @@ def _signers(a: dict) -> Column:
             ok = ok & (s["against"] == F.col("current_digest"))
         return F.coalesce(ok & s["strength"].isin(allow) if allow else ok, F.lit(False))
 
-    each = [F.exists("signers", lambda s, n=n: row_ok(s, n)) for n in a["required"]]
+    test = lambda name: lambda s: row_ok(s, name)
+    each = [F.exists("signers", test(n)) for n in a["required"]]
     return F.when(F.col("signers").isNotNull(), reduce(lambda x, y: x & y, each))
 
 
@@ -108,11 +109,12 @@ def _trailer(a: dict) -> Column:
 def _oracles(a: dict) -> Column:
     """All files complete; the first file that is not decides: unreadable is null, draft, revoked and others are false."""
     states = []
+    of_path = lambda path: lambda o: o["path"] == path
     for path in a["files"]:
-        found = F.filter("oracles", lambda o, p=path: o["path"] == p)
-        states.append(F.when(F.size(found) > 0, F.when(found[0]["state"] == "complete", "ok").otherwise("no")).otherwise("unread"))
+        found = F.filter("oracles", of_path(path))
+        states.append(F.when(F.size(found) > 0, F.when(F.get(found, F.lit(0))["state"] == "complete", "ok").otherwise("no")).otherwise("unread"))
     first = F.filter(F.array(*states), lambda s: s != "ok")
-    return F.when(F.col("oracles").isNull(), None).when(F.size(first) == 0, True).when(first[0] == "no", False)
+    return F.when(F.col("oracles").isNull(), None).when(F.size(first) == 0, True).when(F.get(first, F.lit(0)) == "no", False)
 
 
 def _fresh(a: dict, as_of: Column) -> Column:
