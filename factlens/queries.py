@@ -344,6 +344,168 @@ def blast_radius(spark, d):
     return G.blast_from(edges, spark.range(3).select(F.col("id").alias("node"))).select("start", "reach")
 
 
+@query("SELECT CASE WHEN l_linenumber = 1 THEN 'explicit' ELSE 'fingerprint' END AS match_kind, count(*) AS gaps FROM lineitem GROUP BY 1")
+def partition_gaps(spark, d):
+    rows = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 1, "explicit").otherwise("fingerprint").alias("match_kind"))
+    return A.merge_reports(*J.partition_gaps(rows)).groupBy("match_kind").agg(F.count("*").alias("gaps"))
+
+
+def _tagged(spark, d, column: str = "o_custkey") -> DataFrame:
+    o = table(spark, d, "orders")
+    path = F.when(F.col(column) % 3 != 0, F.concat(F.lit("m"), (F.col(column) % 3).cast("string")))
+    return o.select("o_orderkey", F.concat(F.lit("c"), (F.col(column) % 100).cast("string")).alias("class"), path.alias("canonical_path"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, 'c' || (o_custkey % 100) AS class, CASE WHEN o_custkey % 3 <> 0 THEN 'm' || (o_custkey % 3) END AS path FROM orders)
+SELECT o_orderkey FROM t WHERE NOT EXISTS (SELECT 1 FROM (SELECT 'c' || c_custkey AS class, CASE WHEN c_custkey % 3 <> 0 THEN 'm' || (c_custkey % 3) END AS path FROM customer WHERE c_custkey < 90) k WHERE k.class = t.class AND k.path IS NOT DISTINCT FROM t.path)""")
+def orphaned_tolerances(spark, d):
+    path = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("m"), (F.col("c_custkey") % 3).cast("string")))
+    classes = table(spark, d, "customer").where("c_custkey < 90").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("type_name"), path.alias("canonical_path"))
+    return J.orphaned_tolerances(_tagged(spark, d), classes).select("o_orderkey")
+
+
+@query("SELECT DISTINCT l_suppkey AS child FROM lineitem WHERE l_linenumber = 7 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)")
+def dangling_child(spark, d):
+    none = F.lit(None).cast("string")
+    edges = table(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("child"), none.alias("child_path"))
+    classes = table(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("type_name"), none.alias("canonical_path"))
+    return J.dangling_children(edges, classes).select("child").distinct()
+
+
+@query("""WITH h AS (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS files, list(DISTINCT s_suppkey % 3) AS kinds FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY 1)
+SELECT c_custkey, CASE WHEN h.k IS NULL THEN 'missing' WHEN files > 1 THEN 'ambiguous' WHEN NOT list_contains(kinds, c_custkey % 3) THEN 'kind_mismatch' ELSE 'resolved' END AS resolution FROM customer LEFT JOIN h ON c_nationkey = k""")
+def delegate_resolution(spark, d):
+    handlers = table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").cast("string").alias("name"), F.col("s_suppkey").cast("string").alias("file"), (F.col("s_suppkey") % 3).alias("boundary_kind"))
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("a::"), F.col("c_nationkey").cast("string")).alias("handled_by"), (F.col("c_custkey") % 3).alias("boundary_kind"))
+    return J.resolve_delegates(rows, handlers).select("c_custkey", "resolution")
+
+
+@query("SELECT p_brand AS file, p_partkey AS line, p_type AS class, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ts FROM part WHERE p_partkey % 2 = 0 AND p_type IN ('ECONOMY', 'STANDARD', 'PROMO')")
+def catalog_match(spark, d):
+    part = table(spark, d, "part")
+    sites = part.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), F.col("p_type").alias("class"), F.when(F.col("p_partkey") % 2 == 0, "fingerprint").otherwise("explicit").alias("match_kind"))
+    known = spark.createDataFrame([(c, "constructable") for c in ("ECONOMY", "STANDARD", "PROMO")], "class string, provenance string")
+    return J.catalog_findings(sites, known).select("file", "line", "class", F.col("ts").cast("long").alias("ts"))
+
+
+@query("""SELECT DISTINCT l_suppkey AS class, p_brand AS file, p_partkey AS line FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_linenumber = 1 AND l_quantity > 45 AND NOT (p_partkey % 5 = 0 AND l_suppkey % 2 = 0)""")
+def generates_join(spark, d):
+    li = table(spark, d, "lineitem")
+    generators = li.where("l_linenumber = 1 and l_quantity > 45").select(F.col("l_suppkey").alias("class"), F.col("l_partkey").alias("macro_name"))
+    calls = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), F.col("p_partkey").alias("macro_name"))
+    existing = J.generated_sites(calls, generators, calls.where("false").withColumn("class", F.lit(0).cast("long"))).where("line % 5 = 0 and class % 2 = 0")
+    return J.generated_sites(calls, generators, existing).select("class", "file", "line")
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS n_F, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_O, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_P FROM orders")
+def count_by_verdict(spark, d):
+    return A.count_by(table(spark, d, "orders"), "o_orderstatus", ["F", "O", "P"])
+
+
+@query("SELECT o_custkey, coalesce(bool_and(o_totalprice > 1000), true) AS all_valid, coalesce(bool_or(o_orderstatus = 'P'), false) AS any_pending FROM orders GROUP BY 1")
+def all_any(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(A.for_all(F.col("o_totalprice") > 1000).alias("all_valid"), A.for_any(F.col("o_orderstatus") == "P").alias("any_pending"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS total")
+def total_declarations(spark, d):
+    return A.total_declarations(*(table(spark, d, n).select(F.lit(1).alias("x")) for n in ("orders", "customer", "part", "supplier")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'missing' WHEN l_linenumber = 2 THEN 'external' WHEN l_linenumber = 3 THEN 'phantom' WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status,
+CASE WHEN l_linenumber = 1 THEN 'none' WHEN l_linenumber = 3 THEN 'formal_proof' WHEN l_linenumber = 2 OR n IS NOT NULL THEN 'reachability' ELSE 'none' END AS tier
+FROM lineitem LEFT JOIN (SELECT c_nationkey * 40 AS k, count(*) AS n FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1) ON l_suppkey = k""")
+def audit_witness(spark, d):
+    li = table(spark, d, "lineitem")
+    witness = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "clippy::lint").when(F.col("l_linenumber") == 3, "Proof::<X>").otherwise(F.concat(F.lit("tests::f"), F.col("l_suppkey").cast("string"), F.lit("()")))
+    functions = table(spark, d, "customer").where("c_custkey % 40 = 0").select(F.concat(F.lit("f"), (F.col("c_nationkey") * 40).cast("string")).alias("name"), F.lit("a").alias("file"), F.lit("fn").alias("kind"))
+    return U.audit_witness(li.select("l_orderkey", "l_linenumber", witness.alias("witness")), functions).select("l_orderkey", "l_linenumber", "status", "tier")
+
+
+@query("""WITH e AS (SELECT o_orderkey, count(DISTINCT l_returnflag) AS n, count(l_returnflag) AS m FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT o_orderkey, concat_ws(',', CASE WHEN n < 2 THEN 'modalities_collapse' END, CASE WHEN m > n THEN 'modality_repeated' END) AS hints FROM e""")
+def audit_convergent(spark, d):
+    seen = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("modalities"))
+    rows = table(spark, d, "orders").join(seen, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("kind", F.lit("diagnostic")).withColumn("min_independent", F.lit(2))
+    for c, t in (("iterations", "long"), ("historical_span", "long"), ("min_reattestations", "long"), ("seed_kind", "string"), ("witnesses", "array<string>"), ("fingerprints", "array<string>")):
+        rows = rows.withColumn(c, F.lit(None).cast(t))
+    return U.audit_convergent(rows).select("o_orderkey", F.array_join("hints", ",").alias("hints"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'out_of_frame' WHEN o_custkey % 2 = 0 THEN 'fulfilled' WHEN CAST(o_orderdate AS DATE) < DATE '{AS_OF}' THEN 'overdue' ELSE 'pending' END AS verdict FROM orders""")
+def audit_prescriptive(spark, d):
+    o = table(spark, d, "orders")
+    frame = F.when(F.col("o_orderkey") % 17 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = o.select("o_orderkey", F.lit("panel").alias("kind"), F.array(F.when(F.col("o_custkey") % 2 == 0, "m::f").otherwise("gone")).alias("items"), F.lit(None).cast("array<string>").alias("filled_by"), F.lit(None).cast("array<string>").alias("reviewed_by"), F.lit(None).cast("string").alias("ordered_by"), frame.alias("frame"))
+    return U.audit_prescriptive(rows, spark.createDataFrame([(["x::m::f", "g"],)], "labels array<string>"), F.lit(AS_OF).cast("date")).select("o_orderkey", "verdict")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'absent_in_lock' WHEN p_partkey % 7 = 0 THEN 'no_record' WHEN p_partkey % 11 = 0 THEN 'mismatch' ELSE 'matches' END AS state FROM part""")
+def content_hash(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("name"), F.lit("1").alias("version"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    lock = part.where("p_partkey % 5 <> 0").select("name", "version", sha(F.col("name")).alias("checksum"))
+    records = part.where("p_partkey % 7 <> 0").select("name", "version", sha(F.when(F.col("p_partkey") % 11 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name"))).alias("checksum"))
+    return U.content_hash(part, lock, records).select("p_partkey", "state")
+
+
+@query("""WITH r AS (SELECT l_partkey AS k, bool_or(l_suppkey % 10 = 0) AS exact FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) SELECT p_partkey, CASE WHEN k IS NULL THEN 'missing' WHEN exact THEN 'ok' ELSE 'stale' END AS state FROM part LEFT JOIN r ON p_partkey = k""")
+def dep_attested(spark, d):
+    records = table(spark, d, "lineitem").where("l_linenumber = 2").select(F.col("l_partkey").cast("string").alias("name"), F.when(F.col("l_suppkey") % 10 == 0, "1").otherwise("0").alias("version"), F.lit("review.md").alias("artifact"), F.lit(True).alias("valid")).distinct()
+    wanted = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("name"), F.lit("1").alias("version"))
+    return U.dep_attested(wanted, records).select("p_partkey", "state")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 OR toxic = 1 THEN 'high' WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'low' END AS severity, 'mark@' || (doc_id % 7) AS cluster_key FROM labels")
+def finding_from_mark(spark, d):
+    marks = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "sure").otherwise("unsure").alias("certainty"), F.when(F.col("toxic") == 1, "dread").when(F.col("doc_id") % 2 == 0, "aura").otherwise("smell").alias("magnitude"), F.lit("mark").alias("marker"), (F.col("doc_id") % 7).cast("string").alias("shape_digest"))
+    return U.finding_from_mark(marks).select("doc_id", "severity", "cluster_key")
+
+
+@query("""WITH t AS (SELECT event_id, value, event_type FROM events ORDER BY event_id DESC LIMIT 500) SELECT 'crate' || (event_id % 9) AS path, count(*) AS touches FROM t GROUP BY 1""")
+def recurrence_counts(spark, d):
+    commits = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.array(F.concat(F.lit("crate"), (F.col("event_id") % 9).cast("string"))).alias("files"))
+    paths = spark.range(9).select(F.concat(F.lit("crate"), F.col("id").cast("string")).alias("path"))
+    return M.recurrence_counts(commits, paths, 500)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'evading' WHEN quality = 1 THEN 'dormant' WHEN toxic = 1 THEN 'obsolete' ELSE 'indeterminate' END AS silent,
+CASE WHEN doc_id % 2 = 0 THEN 'rearm' WHEN quality = 1 THEN 'hold' WHEN toxic = 1 THEN 'forget' ELSE 'human' END AS action FROM labels""")
+def curation(spark, d):
+    silent = L.silent_status(F.col("doc_id") % 2 == 0, F.col("quality") == 1, F.col("toxic") == 1)
+    rows = table(spark, d, "labels").withColumn("silent", silent)
+    verdict = L.classify(F.col("silent"), F.lit(False), F.lit("no_drift"), F.lit("recall"))
+    return rows.select("doc_id", "silent", L.curate(verdict, F.lit(False)).alias("action"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN a > 0 AND b > 0 THEN CASE greatest(a, b) WHEN 2 THEN 'verified' ELSE 'resolved' END END AS tier FROM (SELECT s_suppkey, s_suppkey % 3 AS a, s_nationkey % 3 AS b FROM supplier)""")
+def tier_corroborate(spark, d):
+    tier = lambda c: S.from_rank((c % 3).cast("int"), G.NODE_TIERS)
+    return table(spark, d, "supplier").select("s_suppkey", G.corroborate(tier(F.col("s_suppkey")), tier(F.col("s_nationkey"))).alias("tier"))
+
+
+@query("""SELECT l_partkey AS fq_path, l_returnflag AS identity_digest, max(l_orderkey) AS revision FROM lineitem GROUP BY 1, 2""")
+def node_lowering(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("fq_path"), F.col("l_returnflag").alias("identity_digest"), F.lit("").alias("cfg_set"), F.lit("syntactic").alias("tier"), F.lit("fn").alias("kind"), F.col("l_orderkey").alias("revision"))
+    return G.lower_nodes(rows.where("fq_path % 2 = 0"), rows.where("fq_path % 2 = 1")).select("fq_path", "identity_digest", "revision")
+
+
+@query("SELECT src AS child, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY CAST(dst AS VARCHAR)) AS ancestors FROM (" + TREE_SQL + " SELECT src, dst FROM up WHERE dst % 2 = 1) GROUP BY 1")
+def recurrence_ancestors(spark, d):
+    edges = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
+    rows = G.closure(edges).where("dst % 2 = 1").groupBy(F.col("src").alias("child"))
+    return rows.agg(F.array_join(A.union_distinct(F.array(F.col("dst").cast("string"))), ",").alias("ancestors"))
+
+
+@query("""SELECT doc_id, '{"reason":"compiler-message","message":{"level":"' || CASE WHEN quality = 0 THEN 'error' ELSE 'warning' END || '","message":"C at f:' || doc_id || '","spans":[{"file_name":"f","line_start":' || doc_id || ',"line_end":' || doc_id || ',"is_primary":true}]}}' AS value FROM labels""")
+def flycheck_jsonl(spark, d):
+    from .sources import files
+
+    body = F.struct(F.lit("fingerprint_match").alias("kind"), F.lit("C").alias("class"))
+    findings = table(spark, d, "labels").select(F.when(F.col("quality") == 0, "high").otherwise("low").alias("severity"), F.lit("f").alias("file"), F.col("doc_id").alias("line"), body.alias("body"))
+    return files.flycheck_lines(findings).select(F.get_json_object("value", "$.message.spans[0].line_start").cast("long").alias("doc_id"), "value")
+
+
 @query()
 def adwin_axis(spark, d):
     s = table(spark, d, "events").groupBy(F.col("event_type").alias("class"), F.to_date("ts").alias("day")).agg((F.avg("value") / 1000.0).alias("recall"))
