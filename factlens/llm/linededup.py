@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +40,23 @@ _TIMES = (_random.randint(0, 1 << 31, R * B, dtype=np.int64) * 2 + 1).astype(np.
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and number (blank ones count) of each line with a word."""
-    start, end, row = K.pieces(data != 10, offsets)
-    full = np.concatenate([[0], np.cumsum(~K.SPACE[data])])
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    keep = full[end] > full[start]
-    start, end, row = start[keep], end[keep], row[keep]
-    return start, end, row, breaks[start] - breaks[offsets[row]]
+    breaks = np.flatnonzero(data == 10)
+    edges = np.union1d(offsets, np.concatenate([breaks, breaks + 1]))
+    start, end = edges[:-1], edges[1:]
+    text = data[start] != 10
+    start, end = start[text], end[text]
+    row = np.searchsorted(offsets, start, "right") - 1
+    number = np.searchsorted(breaks, start) - np.searchsorted(breaks, offsets[row])
+    keep = ~K.SPACE[data[start]]
+    for i in np.flatnonzero(~keep):  # only a line that begins with white space can be blank
+        keep[i] = not K.SPACE[data[start[i] : end[i]]].all()
+    return start[keep], end[keep], row[keep], number[keep]
+
+
+def line_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each line."""
+    view, digest = memoryview(data.tobytes()), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
 
 
 def char_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +128,7 @@ def bands(values: np.ndarray, span: np.ndarray, n: int) -> np.ndarray:
     return K.mix(keys + np.arange(B, dtype=K.U64) * K.U64(0xD1B54A32D192ED03))
 
 
-def _per_chunk(docs: DataFrame, make, schema: str, size: int = 1 << 19) -> DataFrame:
+def _per_chunk(docs: DataFrame, make, schema: str, size: int = 1 << 18) -> DataFrame:
     """Run make(bytes lower-cased, bytes, offsets, ids) over chunks of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +146,7 @@ def _per_chunk(docs: DataFrame, make, schema: str, size: int = 1 << 19) -> DataF
 
 def _signatures(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     start, end, _, _ = lines_of(data, offsets)
-    own, first = np.unique(K.Rolling(data).spans(start, end), return_index=True)
+    own, first = np.unique(line_hashes(data, start, end), return_index=True)
     keys = np.zeros((0, B), K.U64)
     if len(own):
         values, span = char_shingles(data, start[first], end[first], exact=False)
@@ -144,7 +156,7 @@ def _signatures(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np.
 
 def _occurrences(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     start, end, row, number = lines_of(data, offsets)
-    own = K.Rolling(data).spans(start, end)
+    own = line_hashes(data, start, end)
     return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids[row]), pa.array(number.astype(np.int32))], ["line", "doc_id", "line_no"])
 
 
@@ -153,9 +165,10 @@ def _texts(bits: np.ndarray):
 
     def make(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         start, end, _, _ = lines_of(data, offsets)
-        own, first = np.unique(K.Rolling(data).spans(start, end), return_index=True)
-        wanted = in_sieve(bits, own.view(np.int64))
-        own, start, end = own[wanted], start[first[wanted]], end[first[wanted]]
+        own = line_hashes(data, start, end)
+        some = np.flatnonzero(in_sieve(bits, own.view(np.int64)))
+        own, first = np.unique(own[some], return_index=True)
+        start, end = start[some[first]], end[some[first]]
         text = [raw[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(text, pa.string())], ["set", "text"])
 
