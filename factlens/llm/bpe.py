@@ -67,7 +67,8 @@ class Bpe:
             self.parts[vocab[a + b]] = vocab[a], vocab[b]
             self.made[vocab[a + b]] = n
         self.lengths = {v: len(k) for k, v in vocab.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.lone: dict[int, bool] = {}
         self.chunks: dict[str, tuple[str, str, int]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.matches = ahocorasick.Automaton()
@@ -83,7 +84,7 @@ class Bpe:
         at the border have a merge of their own that ranks before the one just undone, it
         would have come first, and so the pair can't stand.
         """
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is not None:
             return known
         a, b, stands, before = left, right, True, float("inf")
@@ -99,9 +100,9 @@ class Bpe:
                 before, a = made_a, self.parts[a][1]
             else:  # of equal merges the left one comes first
                 before, b = made_b + 1, self.parts[b][0]
-        if len(self.pairs) > 3 * CACHE:
+        if len(self.pairs) > 2 * CACHE:
             self.pairs.clear()
-        self.pairs[left, right] = stands
+        self.pairs[left << 32 | right] = stands
         return stands
 
     def encode_piece(self, raw: str) -> tuple[int, ...]:
@@ -124,21 +125,21 @@ class Bpe:
             token, at = last[at]
             out.append(token)
         found = tuple(reversed(out))
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > CACHE // 2:
             self.pieces.clear()
         self.pieces[raw] = found
         return found
 
     def alone(self, token: int) -> bool:
         """Whether a token's own text is encoded as that token: its two parts are, and fit."""
-        known = self.pairs.get((-1, token))
+        known = self.lone.get(token)
         if known is None:
             known = True
             if token in self.parts:
                 a, b = self.parts[token]
                 # The merge that makes the token must win at its border against every other one.
                 known = self.alone(a) and self.alone(b) and self._joins(a, b)
-            self.pairs[-1, token] = known
+            self.lone[token] = known
         return known
 
     def _joins(self, left: int, right: int) -> bool:

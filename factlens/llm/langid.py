@@ -191,7 +191,6 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
 def judge_texts(column: pa.Array, net: Network) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a column."""
     data, offsets = K.utf8(column)
-    letters = has_letter(column, data, offsets)
     pred: list[str] = []
     scores = np.zeros(len(column))
     for a, b in K.chunks(offsets, 1 << 18):
@@ -204,7 +203,7 @@ def judge_texts(column: pa.Array, net: Network) -> tuple[list[str], np.ndarray]:
             np.add.at(total, row, net.predict(codes) * size[:, None])
         total /= np.maximum(total.sum(1, keepdims=True), 1e-9)
         best = total.argmax(1)
-        known = letters[a:b] & (net.languages != [UNKNOWN])
+        known = has_letter(column[a:b], data[at[0] : at[-1]], at - at[0]) & (net.languages != [UNKNOWN])
         pred += [net.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
         scores[a:b] = np.where(known, np.clip(total[np.arange(b - a), best], 0, 1), 0.0)
     return pred, scores
