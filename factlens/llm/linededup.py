@@ -213,9 +213,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     A document that loses all of its lines with a word goes; one that had none stays as it is. n_chars, where there is such a column, follows.
     """
-    lost = judge(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_lost"), F.max("kept").alias("_some"))
-    joined = docs.join(lost.where("size(_lost) > 0"), F.col("doc_id") == F.col("_doc"), "left").where("_doc is null or _some")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("_lost", k)), "\n")
-    text = F.when(F.col("_doc").isNull(), F.col("text")).otherwise(rest)
-    out = joined.withColumn("text", text).drop("_doc", "_lost", "_some")
+    tag = "_"
+    while any(c.startswith(tag) for c in docs.columns):  # names that no column of the input has
+        tag += "_"
+    doc, lost, some = tag + "doc", tag + "lost", tag + "some"
+    lines = judge(docs).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias(lost), F.max("kept").alias(some))
+    joined = docs.join(lines.where(F.size(lost) > 0), F.col("doc_id") == F.col(doc), "left").where(F.col(doc).isNull() | F.col(some))
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(lost, k)), "\n")
+    text = F.when(F.col(doc).isNull(), F.col("text")).otherwise(rest)
+    out = joined.withColumn("text", text).drop(doc, lost, some)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

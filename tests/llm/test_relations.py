@@ -100,7 +100,7 @@ def test_line_dedup_against_all_pairs(spark):
     got = {r["doc_id"]: (r["n_lines"], list(r["dropped"])) for r in linededup.report(docs).collect()}
     want = {d: (sum(u[0] == d for u in uses), [k for e, k, x in sorted(uses) if e == d and first[group[x]] != (e, k)]) for d, _ in rows}
     assert sum(got[d] != want[d] for d in want) <= 1  # banding finds 0.995 of pairs at the threshold
-    kept = {r["doc_id"]: r["text"] for r in linededup.deduplicate(docs.drop("_lost")).collect()}
+    kept = {r["doc_id"]: r["text"] for r in linededup.deduplicate(docs).collect()}
     for d, t in rows:
         n, dropped = got[d]
         if n and n == len(dropped):
