@@ -285,3 +285,32 @@ def supply_chain(predicate, states: dict[tuple, str]) -> tuple[bool, list[tuple[
         return True, []
     state = states.get((predicate.op, predicate.args.get("crate_name")), "missing")
     return state in ("ok", "pinned", "unchanged", "matches"), [(predicate.op, state)]
+
+
+def branch_attest(observed: Column, protected: Column) -> Column:
+    return F.when(observed.isNull(), "unobservable").when(protected, "attested").otherwise("unprotected")
+
+
+def server_enforcement(reachable: Column, enforced: Column) -> Column:
+    return F.when(~F.coalesce(reachable, F.lit(False)), "unknown").when(enforced, "enforced").otherwise("advisory")
+
+
+def lineage_fidelity(lineage: list[tuple[str, str]], patterns: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(child, parent, hint) where a child's pattern does not refine its parent's: another item kind, or a doc text that it drops.
+
+    The catalog of patterns is small and parsed on the driver.
+    """
+    from ..plans.pattern import kind_hint, parse
+    from .learn import conjuncts
+
+    out = []
+    for child, parent in sorted(lineage):
+        if child not in patterns or parent not in patterns:
+            continue
+        a, b = parse(patterns[child]), parse(patterns[parent])
+        if kind_hint(b) and kind_hint(a) != kind_hint(b):
+            out.append((child, parent, "kind_differs"))
+        needles = lambda p: {n.args[0] for n in conjuncts(p) if n.op == "doc_contains"}
+        if any(not any(x in y for y in needles(a)) for x in needles(b)):
+            out.append((child, parent, "doc_not_refined"))
+    return out

@@ -120,6 +120,11 @@ def test_mining(spark):
     assert sorted(tuple(r) for r in M.recurrence_counts(commits, spark.createDataFrame([("b",), ("z",)], "path string"), 2).collect()) == [("b", 1), ("z", 0)]
 
 
+def test_lineage_fidelity():
+    patterns = {"p": 'item = impl, doc_contains("unsafe")', "ok": 'item = impl, doc_contains("unsafe block")', "kind": 'item = fn, doc_contains("unsafe")', "doc": "item = impl, is_unsafe"}
+    assert U.lineage_fidelity([(c, "p") for c in ("ok", "kind", "doc", "gone")], patterns) == [("doc", "p", "doc_not_refined"), ("kind", "p", "kind_differs")]
+
+
 def test_drift():
     assert L.detect_axis([0.9] * 40 + [0.1] * 40, 0.025)["cut"] == 40
     assert L.detect_axis([0.5] * 200, 0.025)["state"] == "no_drift"
