@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 MAX_DEPTH = 64
+#: Edges by which a round of the closure goes on.
+STRIDE = 4
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -30,19 +32,28 @@ def saved(df: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = MAX_DEPTH) -> DataFrame:
     """src, dst, depth of all pairs that a path joins; depth is that of the shortest.
 
-    Semi-naive: a round extends only the pairs that the last one found and drops those known, so cycles end by
-    themselves, and rounds number as the longest shortest path.
+    Semi-naive: a round extends only the farthest pairs that the last one found, by up to STRIDE edges, and drops
+    those known, so cycles end by themselves, and rounds number as the longest shortest path over STRIDE.
     """
     step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
-    new = known = saved(step.withColumn("depth", F.lit(1)))
-    parts = [new]
-    for depth in range(2, most + 1):
-        next_ = new.select("src", F.col("dst").alias("mid")).join(step.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
-        new = saved(next_.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            break
-        parts.append(new)
+    on = step.withColumnRenamed("src", "mid").withColumnRenamed("dst", "next")
+    last = known = saved(step.withColumn("depth", F.lit(1)))
+    depth = 1
+    while depth < most:
+        front, parts = last, []
+        for k in range(1, min(STRIDE, most - depth) + 1):
+            front = front.join(on, front["dst"] == on["mid"]).select("src", F.col("next").alias("dst")).distinct()
+            parts.append(front.withColumn("depth", F.lit(depth + k)))
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.union(part)
+        found = found.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        new = saved(found.join(known.select("src", "dst"), ["src", "dst"], "left_anti"))
+        depth += len(parts)
         known = known.unionByName(new)
+        last = new.where(F.col("depth") == depth).drop("depth")
+        if last.isEmpty():
+            break
     return known
 
 
