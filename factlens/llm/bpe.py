@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 END = "\0"
 SUFFIX = "</w>"
 #: Distinct pieces that a worker remembers; beyond that it starts afresh.
@@ -248,4 +250,4 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True) -> DataF
             yield pa.RecordBatch.from_arrays(cols, names)
         model.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), schema)

@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows in an Arrow batch. Texts can be long, so far fewer than Spark's own 10,000 keep a batch to a few MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps survive the loss of any executor.
 
@@ -29,6 +37,7 @@ def saved(df: DataFrame) -> DataFrame:
     shuffle files at once, so disk holds those of one step at a time.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -232,7 +232,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         cols = [ids.take(pa.array([a + x for x in r])), pa.array(index.value.ids[list(k)]), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(cost, pa.int32()), pa.array(share, pa.float64())]
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "end", "edits", "share"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(K.lean(run), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -252,5 +252,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[np.array(hit, np.int64)] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(K.lean(run), docs.schema)
     return docs

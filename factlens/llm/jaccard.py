@@ -96,7 +96,7 @@ def postings(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["tok", "set", "n", "rank"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "tok long, set long, n int, rank int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), "tok long, set long, n int, rank int")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -118,7 +118,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], tupl
 
     with_a = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a int, n_b int, common long")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(K.lean(run), "a long, b long, n_a int, n_b int, common long")
 
 
 def links(measured: DataFrame, percent: int = 80) -> DataFrame:
@@ -253,7 +253,7 @@ def join(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(in_sieve(bits, batch.column("doc_id").to_numpy(zero_copy_only=False))))
 
-        some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(pick, "doc_id long, text string")
+        some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(K.lean(pick), "doc_id long, text string")
         one = some.join(ids, "doc_id")
         return one.dropDuplicates(["set"]).select("set", "text")
 

@@ -185,7 +185,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
             pred, score = judge_texts(batch.column("text"), net)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), "doc_id long, lang_pred string, score double")
 
 
 def judge_texts(column: pa.Array, net: Network) -> tuple[list[str], np.ndarray]:
@@ -217,7 +217,7 @@ def keep_known(docs: DataFrame, net: Network, least: float) -> DataFrame:
             pred, score = judge_texts(batch.column("text"), net)
             yield batch.filter(pa.array((np.array(pred, object) != UNKNOWN) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.lean(run), docs.schema)
 
 
 def _some(data: np.ndarray, offsets: np.ndarray, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -120,4 +120,4 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
                     r, name, share, place = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([a + x for x in r])), pa.array(name), pa.array(share), pa.array(place, pa.int64())], ["doc_id", "license", "containment", "place"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, containment double, place long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), "doc_id long, license string, containment double, place long")

@@ -141,7 +141,7 @@ def _per_chunk(docs: DataFrame, make, schema: str, size: int = 1 << 18) -> DataF
                 if len(raw):
                     yield make(K.LOWER[raw], raw, at - at[0], ids[a:b])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null").mapInArrow(K.lean(run), schema)
 
 
 def _signatures(data: np.ndarray, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:

@@ -87,7 +87,7 @@ def features(docs: DataFrame) -> DataFrame:
                 cols = _features(data[at[0] : at[-1]], at - at[0])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], *(pa.array(c.astype(np.int64)) for c in cols)], ["doc_id", *FEATURES])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), _SCHEMA)
 
 
 def _ratio(a: str, b: str):
