@@ -19,7 +19,8 @@ Exact copies are one set: they share a hash of the whole set and are never expan
 
 Edge cases: null, empty and blank texts have an empty set, linked with nothing, and are
 their own components; with fewer than five words the whole sequence is the one shingle;
-rows repeated with the same doc_id give the same answer; an empty table gives no rows.
+a row repeated with the same doc_id and text counts once; rows without a doc_id are left
+out; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def postings(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["tok", "set", "n", "rank"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), "tok long, set long, n int, rank int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(K.lean(run), "tok long, set long, n int, rank int")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:

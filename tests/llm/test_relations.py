@@ -66,7 +66,7 @@ def test_jaccard_join_is_exact(spark, frequent):
     rows = corpus(frequent)
     sets = {d: shingle_set(t) for d, t in rows}
     want = closure(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
-    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, component long").repartition(3)
+    docs = spark.createDataFrame([*((d, t, 0) for d, t in rows), (None, "no id", 0)], "doc_id long, text string, component long").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, frequent).collect()}
     assert got == {d: (len(sets[d]), want[d]) for d in sets}
 
