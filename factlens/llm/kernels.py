@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 _P = U64(0x9E3779B97F4A7C15)
 _P_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_KEYS = np.random.RandomState(20240501).randint(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
