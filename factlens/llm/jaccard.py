@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from .components import components, discard, in_sieve, saved, sieve
 WIDTH = 5
 #: A list with more entries than this is frequent.
 FREQUENT = 64
+#: Sets that a task compares with as many others at once, of a long list worked off block by block.
+TILE = 512
 #: How often what is outside a long list's main component is compared with a leader before all pairs still open are.
 LEADERS = 1
 
@@ -153,7 +156,8 @@ def settle(lists: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: C
     components, as far as size, position and differences from the leader leave them open.
     Of a list marked `often`, only pairs with at least one `deep` set are looked at.
     need(x, y) is the number of lists that a pair must share, 1 if not given. Without
-    `exhaustive`, lists of more than FREQUENT rows are left to leaders.
+    `exhaustive`, pairs of lists of more than FREQUENT rows are never rows of a join: tiles()
+    compares them. Such lists must all be deep and need one shared list only.
     texts_of(sets) gives set, text for a table of sets. n = 0 stands for a size not known.
     """
     fits = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
@@ -204,7 +208,10 @@ def settle(lists: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: C
             leaders = turn + 1  # hardly a link: the next turn is the last
         found = components(found.where("node <> component").select(c("node").alias("a"), c("component").alias("b")).union(edges))
     open_ = placed
+    tiled = None
     if not exhaustive:
+        long = placed.where(c("rows") > FREQUENT).withColumn("outside", F.count_if(c("comp") != c("main")).over(by_list))
+        tiled = saved(tiles(long, texts, sets, percent))
         placed = placed.where(c("rows") <= FREQUENT)
     apart = measured.select(c("a").alias("set"), c("b").alias("lead"), (c("n_a") + c("n_b") - 2 * c("common")).alias("differs"))
     placed = placed.join(apart, ["set", "lead"], "left").withColumn("differs", F.when(c("set") == c("lead"), 0).otherwise(c("differs")))
@@ -227,11 +234,64 @@ def settle(lists: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: C
     known = measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more, _ = measure(rest, known, texts)
     more = links(more, percent).select("a", "b")
+    if tiled is not None:
+        more = more.union(tiled)
     if more.isEmpty():
         return found
     return components(found.where("node <> component").select(c("node").alias("a"), c("component").alias("b")).union(more))
 
 
+def linked(x: pa.Table, y: pa.Table, sets: Callable, percent: int) -> list[tuple[int, int]]:
+    """Links (row of x, row of y) that connect all components of x and y which a link connects, without rings."""
+    (xs, xat), (ys, yat) = sets(x.column("text").combine_chunks()), sets(y.column("text").combine_chunks())
+    n_x, n_y = np.diff(xat), np.diff(yat)
+    comp_x, comp_y = x.column("comp").to_numpy(), y.column("comp").to_numpy()
+    order = np.argsort(ys, kind="stable")
+    holds, of = ys[order], np.repeat(np.arange(len(n_y)), n_y)[order]
+    lo, hi = np.searchsorted(holds, xs), np.searchsorted(holds, xs, "right")
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while up.get(v, v) != v:
+            up[v] = v = up.get(up[v], up[v])
+        return v
+
+    out = []
+    for k in np.flatnonzero(n_x > 0):
+        a, n = lo[xat[k] : xat[k + 1]], (hi - lo)[xat[k] : xat[k + 1]]
+        common = np.bincount(of[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(n_y))
+        for j in np.flatnonzero((100 * common >= percent * (n_x[k] + n_y - common)) & (comp_y != comp_x[k])):
+            p, q = find(int(comp_x[k])), find(int(comp_y[j]))
+            if p != q:
+                up[p] = q
+                out.append((int(k), int(j)))
+    return out
+
+
+def tiles(lists: DataFrame, texts: DataFrame, sets: Callable, percent: int) -> DataFrame:
+    """a, b: links between the components of each list(tok, set, comp, main, rows, outside), from all pairs of what is outside the main one with all sets.
+
+    Both sides of a list are dealt into blocks of about TILE sets, and each block of one meets each of the
+    other in a task of its own. So a set is copied once for each block it meets, not for each set.
+    """
+    c = F.col
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("set"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    rows = lists.join(texts, "set")
+    x = rows.where("comp <> main").select("tok", own(c("outside")).alias("i"), every(c("rows")).alias("j"), "set", "comp", "text", F.lit(True).alias("outer"))
+    y = rows.select("tok", every(c("outside")).alias("i"), own(c("rows")).alias("j"), "set", "comp", "text", F.lit(False).alias("outer"))
+
+    def run(both: pa.Table) -> pa.Table:
+        outer = both.column("outer")
+        x, y = both.filter(outer), both.filter(pc.invert(outer))
+        at = linked(x, y, sets, percent) if len(x) and len(y) else []
+        a, b = (pa.array([pair[k] for pair in at], pa.int64()) for k in (0, 1))
+        return pa.table({"a": x.column("set").take(a), "b": y.column("set").take(b)})
+
+    return x.union(y).groupBy("tok", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def join(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach, itself included."""
     by_list = Window.partitionBy("tok")

@@ -7,10 +7,10 @@ of each group the first line by (doc_id, line number) stays.
 The bands: R rows in each of B; a pair at the threshold 0.8 shares one with probability
 1 - (1 - 0.8 ** R) ** B, here 0.995, and 0.9999 at 0.9. Equal lines (A-Z lower-cased)
 always meet: they have the same hash and are never compared. Of lines that share a band,
-all pairs not connected yet are compared where up to FREQUENT lines share it. A band that
-more share is worked off by leaders, each time another line of its largest group, until
-no comparison connects anything: comparing thousands of like lines each with each would
-grow with the square of their number.
+all pairs not connected yet are compared. A band that more than FREQUENT lines share is
+first worked off by leaders, each time another line of its largest group, while that
+connects much; what is left outside the group is then compared with all lines of the band,
+block by block.
 
 Edge cases: a null text has no lines; blank lines (nothing but ASCII white space) always
 stay and belong to no group; a line shorter than a shingle is one shingle; rows repeated

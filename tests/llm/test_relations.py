@@ -109,6 +109,26 @@ def test_line_dedup_against_all_pairs(spark):
             assert kept[d] == (t if not dropped else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dropped))
 
 
+def test_a_long_band_holds_several_groups(spark, monkeypatch):
+    r = random.Random(4)
+    line = lambda: "".join(r.choice("abcdefghijklmnop ") for _ in range(100))
+    put = lambda x, at: x[:at] + r.choice("qrstuvwxyz") + r.choice("QRSTUVWXYZ") + x[at + 2 :]
+    first, second, chain = line(), line(), [line()]
+    lines = [put(first, 40) for _ in range(150)] + [put(second, 60) for _ in range(100)]
+    while len(chain) < 30:
+        chain.append(put(chain[-1], 3 * len(chain)))
+    lines += chain + [y for _ in range(10) for x in [line()] for y in (x, put(x, 20))] + [line() for _ in range(9)]
+    texts = dict(enumerate(dict.fromkeys(lines)))
+    sets = {k: {x[i : i + 7] for i in range(94)} for k, x in texts.items()}
+    want = closure(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    lists = spark.createDataFrame([(1, k, 0, 0, 0, 0, 0, False, True) for k in texts], "tok long, set long, n int, rank int, lead long, n_lead int, k int, often boolean, deep boolean")
+    frame = spark.createDataFrame(list(texts.items()), "set long, text string")
+    for tile in (512, 40):
+        monkeypatch.setattr(jaccard, "TILE", tile, raising=False)
+        found = jaccard.settle(lists, lambda some: frame.join(some, "set", "left_semi"), linededup.char_sets, exhaustive=False, leaders=8).collect()
+        assert {k: want[k] for k in want if list(want.values()).count(want[k]) > 1} == {x["node"]: x["component"] for x in found}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
