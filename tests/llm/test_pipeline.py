@@ -64,3 +64,16 @@ def test_near_copies_keep_one(spark):
     rows = [(i, base if i % 3 else base + f" tail{i}") for i in range(12)] + [(20, None), (21, None), (22, "x"), (23, "x")]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, component int")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 20, 21, 22]
+
+
+def test_language_rejects_what_has_letters_but_no_learned_language(spark):
+    r = random.Random(12)
+    vocabulary = {"en": "the and that with have from they which would there their about", "fr": "les des une dans pour avec être cette mais vous leurs après", "de": "der die und nicht sich auch werden über schon durch können gegen", "es": "los las una para pero como más todo también desde años según"}
+    prose = lambda words, n=120: " ".join(r.choice(words.split(" ")) for _ in range(n))
+    rows = [(1000 * k + i, prose(v), lang) for k, (lang, v) in enumerate(vocabulary.items()) for i in range(300)]
+    junk = [(9000 + i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(120)), None) for i in range(20)]
+    unlearned = [(9100 + i, prose("hyvin kaunis sanat ovat pitkiä ihmiset puhuvat päivä kotona missä työ yksi"), None) for i in range(20)]
+    docs = spark.createDataFrame(rows + junk + unlearned + [(9200, prose(vocabulary["fr"]), None)], "doc_id long, text string, lang string")
+    got = {x["doc_id"] for x in corpus_pipeline.language(spark, docs, "").collect()}
+    assert not got & {d for d, _, _ in junk + unlearned}
+    assert 9200 in got and len(got - {9200}) >= 0.98 * len(rows)
