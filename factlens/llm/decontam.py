@@ -5,7 +5,8 @@ than letters and digits one space. Benchmark items are cut into overlapping segm
 document region within k edits of a segment of length m shares at least
 m - q + 1 - k * q of its q-grams (the q-gram lemma), all within a diagonal band k wide.
 So q-gram hits are counted in overlapping diagonal bands, regions that reach the bound
-are kept, and a banded alignment verifies each.
+are kept, and a banded alignment verifies each. One verified segment is a match, however
+long the item is: a quote of 120 characters always holds a whole segment, a shorter one may.
 
 The index holds a block of the benchmark of bounded size (BLOCK bytes of text); a larger
 benchmark is a stated query set, worked off block by block.
@@ -29,8 +30,6 @@ from . import kernels as K
 Q = 12
 #: Segment length, step, and edits allowed in a segment as a share of its length.
 SEGMENT, STEP, EDITS = 80, 40, 0.05
-#: Share of an item's segments that must be found.
-COVER = 0.5
 #: Bytes of benchmark text in one index.
 BLOCK = 16 << 20
 _BITS = 22
@@ -138,8 +137,8 @@ class Index:
                         done[n] = a + best[1], a + best[2], best[0]
         out = []
         for (r, k), done in found.items():
-            share = len(done) / len(self.segments[k])
-            if share >= COVER:
+            if done:
+                share = len(done) / len(self.segments[k])
                 start, end = min(x[0] for x in done.values()), max(x[1] for x in done.values())
                 out.append((r, k, start - int(offsets[r]), end - int(offsets[r]), max(x[2] for x in done.values()), share))
         for k in self.short:

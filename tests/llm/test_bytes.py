@@ -121,6 +121,17 @@ def test_decontamination_finds_planted_passages(spark):
     assert none.count() == 0
 
 
+def test_decontamination_finds_a_quote_of_a_long_item(spark):
+    r = random.Random(7)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(n))
+    items = [(0, prose(60)[:341]), (1, prose(400)[:2000])]
+    docs = [(0, prose(30) + " " + items[0][1][90:260] + " " + prose(30)), (1, prose(9) + " " + items[1][1][500:1400]), (2, items[1][1][1003:1123]), (3, prose(90)), (4, prose(20) + items[1][1][10:70] + prose(20))]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.matches(docs, bench)
+    assert sorted((x["doc_id"], x["item_id"]) for x in got.collect()) == [(0, 0), (1, 1), (2, 1)]
+    assert sorted(x["doc_id"] for x in decontam.decontaminate(docs, bench).collect()) == [3, 4]
+
+
 def test_licenses_against_plain_containment(spark):
     words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
     filler = " ".join(f"filler{k}" for k in range(300))
