@@ -16,16 +16,28 @@ from pyspark.sql import functions as F
 #: Kinds in the order in which spans at one place are listed.
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 _LOCAL = "A-Za-z0-9._%+-"
+#: Characters of an IBAN by country, as the registry has them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_COUNTRY = "|".join(" ".join(IBAN_LENGTHS.values()).split(" "))
+_IBAN = "|".join([*(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()), rf"(?!{_COUNTRY})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9])"])
 #: Each pattern takes a maximal run from its first possible place (a run can also start where the last match ended), and never
-#: steps back into it, so time is linear in the text.
+#: steps back into it, so time is linear in the text. An IBAN ends after the length of its country, whatever follows a space.
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the whole is looked at ahead, as group 1, and only the country is consumed: what turns out to be none hides nothing behind it
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_IBAN}))[A-Z]{{2}}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Characters that a match consumes where its value is looked at ahead.
+AHEAD = {"iban": 2}
 #: A cheap test that a text can hold the kind at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
 #: Score with the checks passed, and words in the 40 characters before that raise it.
@@ -83,15 +95,18 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern from the left as array<struct<start, end, value>>, in code points."""
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+def matches(text: Column, pattern: str, ahead: int = 0) -> Column:
+    """All matches of a pattern from the left as array<struct<start, end, value>>, in code points.
+
+    With `ahead`, a match consumes that many characters and its value is group 1.
+    """
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if ahead else 0)).alias("value"))
 
     def step(done: Column, piece: Column) -> Column:
         start = done["at"] + F.length(piece["gap"])
         end = start + F.length(piece["value"])
         span = F.struct(start.alias("start"), end.alias("end"), piece["value"].alias("value"))
-        return F.when(piece["value"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans")))
+        return F.when(piece["value"].isNull(), done).otherwise(F.struct((start + ahead if ahead else end).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans")))
 
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
     return F.aggregate(pieces, empty, step, lambda done: done["spans"])
@@ -99,7 +114,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def _found(text: Column, kind: str) -> Column:
     """Confirmed spans of a kind with scores: struct<start, no, end, kind, value, score>, which sorts as spans are listed."""
-    spans = F.filter(matches(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
+    spans = F.filter(matches(text, PATTERNS[kind], AHEAD.get(kind, 0)), lambda s: _valid(kind, s["value"]))
 
     def scored(s: Column) -> Column:
         first = F.greatest(s["start"] - NEAR, F.lit(0))

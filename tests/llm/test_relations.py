@@ -165,6 +165,13 @@ def test_checksums_and_context(spark):
     assert got == {1: "iban:5:32", 2: "", 3: "ssn:7:18", 4: ""}
 
 
+def test_an_iban_ends_with_its_own_length(spark):
+    spaced, solid = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    texts = [f"IBAN {spaced} Bank", f"{solid} BIC COBADEFF", f"{solid} 15 EUR", f"{solid} GB82WEST12345698765432", f"AB12 {spaced}", f"{solid}1", f"{solid}x", f"DE12 {spaced}", f"😀 {spaced} X"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert {d: ",".join(x for x in got[d].split(",") if x.startswith("iban")) for d in got} == {0: "iban:5:32", 1: "iban:0:22", 2: "iban:0:22", 3: "iban:0:22,iban:23:45", 4: "iban:5:32", 5: "", 6: "", 7: "iban:5:32", 8: "iban:2:29"}
+
+
 def test_tool_calls(spark):
     calls = [(1, 0, "a", "reply", '{"turn": 1, "prompt": "x"}', []), (1, 2, "b", "reply", '{"prompt": 5, "odd": 1}', ["a"]), (1, 4, "c", "other", "{}", ["b", "zz"]), (1, 6, "d", "reply", "no json", ["e"]), (1, 8, "e", "reply", '{"prompt":"é\\n","turn":2}', ["d"]), (2, 0, "a", "reply", '{"prompt":"y","turn":3}', [])]
     results = [("a", 1, "one"), ("a", 3, "later"), ("b", 3, 'say "hi"'), (None, 5, "lost"), ("q", 5, "no call")]
