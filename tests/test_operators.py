@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from factlens import queries as Q
 from factlens.operators import aggregates as A
 from factlens.operators import audits as U
 from factlens.operators import graph as G
@@ -195,3 +196,8 @@ def test_queries_are_complete():
     import __spark_entry__ as E
 
     assert set(E.oracle_sql()) <= set(E.queries()) and len(E.queries()) >= 35
+
+
+def test_blast_radius_reads_every_order(spark, tmp_path):
+    spark.createDataFrame([(97, 0, 1), (98, 1, 2), (99, 2, 3)], "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, Q.blast_radius(spark, str(tmp_path)).collect())) == [(0, 3), (1, 2), (2, 1)]
