@@ -292,7 +292,7 @@ def trajectory_direction(spark, d):
 
 def _commits(spark, d) -> DataFrame:
     name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
-    subject = F.concat(F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "Fixes crash ").otherwise("prefix "), F.substring("text", 1, 20))
+    subject = F.concat(F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "Fixes crash ").otherwise("prefix "), F.col("text"))
     return table(spark, d, "conversations").select(name(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("parent"), subject.alias("subject"), (F.col("role") == "system").alias("cosmetic_only"))
 
 

@@ -201,3 +201,9 @@ def test_queries_are_complete():
 def test_blast_radius_reads_every_order(spark, tmp_path):
     spark.createDataFrame([(97, 0, 1), (98, 1, 2), (99, 2, 3)], "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(map(tuple, Q.blast_radius(spark, str(tmp_path)).collect())) == [(0, 3), (1, 2), (2, 1)]
+
+
+def test_szz_reads_whole_texts(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "a long way to go before the bug"), (1, 3, "user", "b"), (3, 1, "user", "a long way to go, a fixture")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in Q.szz_pairs(spark, str(tmp_path)).collect()] == [("1-0", "1-1", "")]
