@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import saved
 
 MAX_DEPTH = 64
 #: Edges by which a round of the closure goes on.
 STRIDE = 4
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='factlens-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = MAX_DEPTH) -> DataFrame:
-    """src, dst, depth of all pairs that a path joins; depth is that of the shortest.
+def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:
+    """src, dst, depth of all pairs that a path joins (of at most `most` edges, if given); depth is that of the shortest.
 
     Semi-naive: a round extends only the farthest pairs that the last one found, by up to STRIDE edges, and drops
     those known, so cycles end by themselves, and rounds number as the longest shortest path over STRIDE.
@@ -39,9 +23,9 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = MA
     on = step.withColumnRenamed("src", "mid").withColumnRenamed("dst", "next")
     last = known = saved(step.withColumn("depth", F.lit(1)))
     depth = 1
-    while depth < most:
+    while most is None or depth < most:
         front, parts = last, []
-        for k in range(1, min(STRIDE, most - depth) + 1):
+        for k in range(1, STRIDE + 1 if most is None else min(STRIDE, most - depth) + 1):
             front = front.join(on, front["dst"] == on["mid"]).select("src", F.col("next").alias("dst")).distinct()
             parts.append(front.withColumn("depth", F.lit(depth + k)))
         found = parts[0]
@@ -57,7 +41,7 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = MA
     return known
 
 
-def closure_sql(view: str, most: int = MAX_DEPTH) -> str:
+def closure_sql(view: str) -> str:
     """The same pairs as one recursive query for graphs of modest depth; a path guard stops at cycles."""
     return f"""
     WITH RECURSIVE walk(src, dst, path, depth) AS (
@@ -65,7 +49,7 @@ def closure_sql(view: str, most: int = MAX_DEPTH) -> str:
       UNION ALL
       SELECT w.src, e.dst, array_append(w.path, e.dst), w.depth + 1
       FROM walk w JOIN {view} e ON w.dst = e.src
-      WHERE w.src <> w.dst AND w.depth < {most} AND NOT array_contains(slice(w.path, 2, size(w.path)), e.dst)
+      WHERE w.src <> w.dst AND NOT array_contains(slice(w.path, 2, size(w.path)), e.dst)
     ) SELECT src, dst, min(depth) AS depth FROM walk GROUP BY src, dst"""
 
 
@@ -74,21 +58,19 @@ def depth_exceeded(edges: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
     return closure(edges, most=most + 1).where(F.col("depth") > most).select("src").distinct()
 
 
-def cycles(edges: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """Each simple cycle once, as `cycle`: its nodes from the least one on.
 
     Only edges within a cycle are walked, and only from the least node of one, so that no rotation is made twice.
     """
     step = edges.select("src", "dst").distinct()
-    pairs = closure(step, most=most).select("src", "dst")
+    pairs = closure(step).select("src", "dst")
     back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     step = saved(step.join(back, ["src", "dst"], "left_semi").union(step.where("src = dst")).distinct())
     walk = step.where("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("cycle"))
     out = walk.where("start = at").select("cycle")
     walk = saved(walk.where("start <> at"))
-    for _ in range(most):
-        if walk.isEmpty():
-            break
+    while not walk.isEmpty():
         longer = walk.join(step, walk["at"] == step["src"]).where((F.col("dst") >= F.col("start")) & ((F.col("dst") == F.col("start")) | ~F.array_contains("cycle", F.col("dst"))))
         longer = saved(longer.select("start", F.col("dst").alias("at"), F.when(F.col("dst") == F.col("start"), F.col("cycle")).otherwise(F.array_append("cycle", F.col("dst"))).alias("cycle")))
         out = out.union(longer.where("start = at").select("cycle"))
