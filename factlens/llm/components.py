@@ -1,10 +1,7 @@
-"""Connected components, and tables in the shared folder that cut lineage."""
+"""Connected components by folding and star rounds, and sieves that spare rows the way into a join."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or one of this machine's own where it is unset (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='factlens-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+from ..storage import discard, saved
+from . import kernels as K
 
 #: Rows in an Arrow batch. Texts can be long, so far fewer than Spark's own 10,000 keep a batch to a few MB.
 BATCH_ROWS = 1000
@@ -30,30 +20,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps survive the loss of any executor.
-
-    What the table was made from is then garbage; collecting it lets Spark delete the
-    shuffle files at once, so disk holds those of one step at a time.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.table_path = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a table of saved() that no later step reads."""
-    jvm = table.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table.table_path)
-    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bits in a sieve: its size, 2 MB, does not depend on the data.
 SIEVE = 1 << 24
 
@@ -78,46 +44,67 @@ def in_sieve(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+#: Edges that a task folds at once, about 16 MB.
+FOLD = 1 << 20
+
+
+def fold(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges (a, b) that is not the least of its component, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
 def forest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one task: each node with the least node of its piece. Batches are folded one by one."""
-    parent: dict[int, int] = {}
+    """The edges of one task folded, FOLD at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    none = np.zeros(0, np.int64)
 
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.setdefault(root, root)) != root:
-            root = up
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
+    def folded() -> tuple[np.ndarray, np.ndarray]:
+        return fold(*(np.concatenate([none, *(h[k] for h in held)]) for k in (0, 1)))
 
     for batch in parts:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = [(x, find(x)) for x in list(parent)]
-    out = [(x, r) for x, r in nodes if x != r]
-    for k in range(0, len(out), 100_000):
-        part = np.array(out[k : k + 100_000], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["u", "v"])
+        held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+        if sum(len(h[0]) for h in held) >= FOLD:
+            u, v = folded()
+            held = []
+            if 2 * len(u) < FOLD:
+                held = [(u, v)]
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    if held:
+        u, v = folded()
+        for k in range(0, len(u), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 100_000]), pa.array(v[k : k + 100_000])], ["u", "v"])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its least node) for every node of edges(a, b).
 
-    Each task first folds its own edges to a forest, then large-star and small-star rounds
+    Tasks of about FOLD edges first fold their own edges, then large-star and small-star rounds
     link every node to the least node of its component; both group by minimum with map-side
     combining, so a node with very many neighbours is never gathered. A round's edges are
     written to the shared folder. The number of rounds grows with the logarithm of the
     size; if they did not suffice the function raises rather than return a partial answer.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v")
-    e = saved(e.mapInArrow(forest, "u long, v long").distinct())
+    raw = saved(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v"))
+    tasks = max(1, -(-raw.count() // FOLD))
+    e = saved(raw.coalesce(tasks).mapInArrow(K.lean(forest), "u long, v long"))
+    discard(raw)
     for _ in range(rounds):
         # done when the edges are stars: one edge for each u, and no centre that is itself a u
-        state = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
-        if state["n"] == state["u"] and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        if tasks == 1 or _stars(e):
             nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -126,5 +113,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = saved(down.union(small.select("u", F.col("m").alias("v"))).distinct())
+        before, e = e, saved(down.union(small.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
     raise RuntimeError("components did not settle")
+
+
+def _stars(e: DataFrame) -> bool:
+    state = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
+    return state["n"] == state["u"] and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()

@@ -1,25 +1,27 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
-Index lists by position: each set's elements stand in one fixed order (their hashes), the
-head of a set goes to the lists of its elements together with position and size, and
-whatever position or size rules out is skipped without a look at the sets. Two sets that
-link share an element of their heads (prefix filter), so no link is lost.
-
-Answers from a similar set: sets of a list are first compared with one leader only. What
-links with the leader takes over the leader's component, so pairs within it need no
-comparison; between others, the known differences from the leader bound the difference
-of the pair (triangle inequality), and only pairs that this leaves open are compared.
-
-Common passages: an element with a long list is "frequent". A set whose head still has
-enough other elements is found through those alone (they stand first in the order that
-puts frequent elements last, and the head's reserve makes up for those left out); a
-frequent list then serves only pairs with a set for which this fails.
+Index lists by position: each set's elements stand in one fixed order, rarest first, and the
+head of a set goes to the lists of its elements together with position and size. Whatever
+position or size rules out is skipped without a look at the sets: two sets that link have at
+least 4/9 of their summed sizes in common, so neither can have its first common element
+further back. A passage that many documents share stands last in each, and is in a list only
+where it makes up nearly all of a document.
+
+The order comes from a table of fixed size, which holds about how often a shingle is met
+again, in levels. What is not in it, or falls on another's place, changes the order and so the
+work, never the answer.
+
+Answers from a similar set: the sets of a list are first compared with one leader only, the
+one whose elements are most common, which is the middle of a group of near copies. What links with the leader takes
+over its component, so pairs within it need no comparison; only pairs of different components
+are compared with each other.
 
 Exact copies are one set: they share a hash of the whole set and are never expanded.
 
 Edge cases: null, empty and blank texts have an empty set, linked with nothing, and are
 their own components; with fewer than five words the whole sequence is the one shingle;
-a row repeated with the same doc_id and text counts once; rows without a doc_id are left
+a row repeated with the same doc_id and text counts once; rows of one doc_id with different
+texts are a row each, and what any of them links with is linked; rows without a doc_id are left
 out; an empty table gives no rows; further columns are not read.
 """
 
@@ -29,7 +31,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,12 @@ from . import kernels as K
 from .components import components, discard, in_sieve, saved, sieve
 
 WIDTH = 5
-#: A list with more entries than this is frequent.
-FREQUENT = 64
-#: Sets that a task compares with as many others at once, of a long list worked off block by block.
-TILE = 512
-#: How often what is outside a long list's main component is compared with a leader before all pairs still open are.
-LEADERS = 1
+#: Two sets link at this similarity in percent.
+PERCENT = 80
+#: Places in the table of levels, the most that the driver fetches for it, and bits by which a task knows a shingle again.
+SLOTS, FILLED, SEEN = 1 << 22, 1 << 20, 1 << 27
+#: A shingle met again fewer times than this has level 0.
+AGAIN = 3
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -57,50 +58,91 @@ def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
 
 def set_hash(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One hash for each set, from all of its elements."""
-    total = np.concatenate([[0], np.cumsum(K.mix(values ^ K.U64(0x5851F42D4C957F2D)), dtype=K.U64)]).astype(K.U64)
+    total = np.concatenate([np.zeros(1, K.U64), np.cumsum(K.mix(values ^ K.U64(0x5851F42D4C957F2D)), dtype=K.U64)])
     return K.mix(total[at[1:]] - total[at[:-1]] + (at[1:] - at[:-1]).astype(K.U64))
 
 
-def head(n: Column) -> Column:
-    """How many elements in a fixed order two sets of Jaccard 0.8 or more can't both miss: floor(n / 5) + 1."""
-    return F.floor(n / 5) + 1
+def identity(values: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The hash of each set; an empty one goes by its document, as it links with nothing."""
+    return np.where(np.diff(at) > 0, set_hash(values, at), K.mix(ids.astype(K.U64) ^ K.U64(0xA0761D6478BD642F)))
+
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
-def reserve(n: Column) -> Column:
-    """Elements that are put in lists: the head and about a quarter more."""
-    return F.least(n, F.floor(n / 4) + 4)
+
+def met_again(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tok, uses: shingles that a task meets again in other documents, and how often; doc_id, set, n of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SEEN >> 3, np.uint8)
+        for batch in batches:
+            sizes = K.utf8(batch.column("text"))[1]
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in K.chunks(sizes):
+                values, at = sets_of(batch.column("text")[a:b])
+                tok, uses = np.unique(values, return_counts=True)
+                place, bit = ((tok & K.U64(SEEN - 1)) >> K.U64(3)).astype(np.int64), (1 << (tok & K.U64(7))).astype(np.uint8)
+                again = (uses > 1) | ((seen[place] & bit) > 0)
+                np.bitwise_or.at(seen, place, bit)
+                own = identity(values, at, ids[a:b])
+                m = int(again.sum())
+                cols = [np.concatenate([tok[again], own]).view(np.int64), np.concatenate([uses[again], np.diff(at)]).astype(np.int32)]
+                doc = pa.array(np.concatenate([np.zeros(m, np.int64), ids[a:b]]), mask=np.arange(m + b - a) < m)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), doc], ["tok", "uses", "doc_id"])
+
+    both = saved(_rows(docs).mapInArrow(K.lean(run), "tok long, uses int, doc_id long"))
+    members = both.where("doc_id is not null").select("doc_id", F.col("tok").alias("set"), F.col("uses").alias("n")).distinct()
+    return both.where("doc_id is null").select("tok", "uses"), members
+
+
+def levels(uses: DataFrame) -> np.ndarray:
+    """The level of each place: the logarithm of how often its commonest shingle is met again, 0 for what is rarer than the FILLED commonest."""
+    level = F.least(F.lit(255), 1 + F.floor(4 * F.log2("uses"))).cast("int")
+    often = uses.groupBy("tok").agg(F.sum("uses").alias("uses")).where(F.col("uses") >= AGAIN)
+    by_slot = saved(often.groupBy(F.shiftrightunsigned("tok", 64 - SLOTS.bit_length() + 1).cast("int").alias("slot")).agg(F.max(level).alias("level")))
+    total, least = 0, 256
+    for r in sorted(by_slot.groupBy("level").count().collect(), reverse=True):
+        total += r["count"]
+        if total > FILLED:
+            break
+        least = r["level"]
+    out = np.zeros(SLOTS, np.uint8)
+    found = by_slot.where(F.col("level") >= least).toArrow()
+    out[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    discard(by_slot)
+    return out
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """tok, set, n, rank: the first elements of each set in order of hash, and a row of rank -1 for each document.
+def postings(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """tok, set, n, rank, often, score: the head of each set, rarest first.
 
-    A set's identity is its hash. In the rows of rank -1 tok is that hash and set is the
-    document's id. Within a chunk of documents only the first of equal sets is listed.
+    Of a set of n elements, floor(n / 5) + 1 are listed: two sets of Jaccard 0.8 or more can't both miss all of
+    these. score is the mean level of the set. Within a chunk of documents only the first of equal sets is listed.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for batch in batches:
             sizes = K.utf8(batch.column("text"))[1]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in K.chunks(sizes):
                 values, at = sets_of(batch.column("text")[a:b])
                 n = np.diff(at)
                 own = set_hash(values, at)
-                own = np.where(n > 0, own, K.mix(ids[a:b].astype(K.U64) ^ K.U64(0xA0761D6478BD642F)))
                 first = np.zeros(b - a, bool)
                 first[np.unique(own, return_index=True)[1]] = True
+                row = np.repeat(np.arange(b - a), n)
+                level = table[values >> K.U64(64 - SLOTS.bit_length() + 1)]
+                score = np.bincount(row, level, b - a) / np.maximum(n, 1)
+                order = np.argsort(row << 8 | level, kind="stable")  # within a level by hash
                 rank = np.arange(len(values)) - np.repeat(at[:-1], n)
-                keep = (rank < np.repeat(np.where(first, n // 4 + 4, 0), n)).nonzero()[0]
-                row = np.repeat(np.arange(b - a), n)[keep]
-                cols = [
-                    np.concatenate([own, values[keep]]).view(np.int64),
-                    np.concatenate([ids[a:b].view(K.U64), own[row]]).view(np.int64),
-                    np.concatenate([n, n[row]]).astype(np.int32),
-                    np.concatenate([np.full(b - a, -1), rank[keep]]).astype(np.int32),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["tok", "set", "n", "rank"])
+                keep = rank < np.repeat(np.where(first, n // 5 + 1, 0), n)
+                row, rank, order = row[keep], rank[keep], order[keep]
+                cols = [values[order].view(np.int64), own[row].view(np.int64), n[row].astype(np.int32), rank.astype(np.int32), level[order] > 0, score[row].astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["tok", "set", "n", "rank", "often", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(K.lean(run), "tok long, set long, n int, rank int")
+    return _rows(docs).mapInArrow(K.lean(run), "tok long, set long, n int, rank int, often boolean, score float")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -125,206 +167,103 @@ def overlaps(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], tupl
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(K.lean(run), "a long, b long, n_a int, n_b int, common long")
 
 
-def links(measured: DataFrame, percent: int = 80) -> DataFrame:
-    return measured.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
+def links(measured: DataFrame, percent: int = PERCENT) -> DataFrame:
+    return measured.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def shared(n_x: Column, n_y: Column) -> Column:
-    """How many of the listed elements two sets that link must share.
-
-    They have at least 4/9 of their summed sizes in common, of which those beyond the
-    reserve of the set whose reserve ends first may not be listed for both.
-    """
-    return F.ceil((n_x + n_y) * 4 / 9) - F.greatest(n_x - reserve(n_x), n_y - reserve(n_y))
-
+def possible(n: Column, rank: Column, m: Column, other: Column) -> Column:
+    """Whether sets of n and m elements can link whose first common element stands at these ranks."""
+    return ((100 + PERCENT) * F.least(n - rank, m - other) >= PERCENT * (n + m)) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
-def least_shared(n: Column) -> Column:
-    """The least of shared(n, m) over all sizes m that can link with n: a set in fewer lists has no link to find."""
-    return F.greatest(F.least(shared(n, F.ceil(n * 0.8)), shared(n, F.floor(n * 1.25))) - 1, F.lit(1))
 
+def lists_of(rows: DataFrame) -> DataFrame:
+    """The lists that hold two sets or more, with the set, size and rank of each list's leader.
 
-def needed(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
-    """Lists that a pair must share: a pair without a deep set is not looked for in the frequent ones."""
-    return F.greatest(shared(x("n"), y("n")) - F.when(x("deep") | y("deep"), 0).otherwise(F.least(x("k"), y("k"))), F.lit(1))
-
-
-def settle(lists: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable, percent: int = 80, need: Callable | None = None, exhaustive: bool = True, leaders: int = LEADERS) -> DataFrame:
-    """node, component of the sets that link, for candidate lists(tok, set, n, rank, lead, n_lead, k, often, deep).
-
-    Links of all pairs that share enough lists are found up to connection: first each set
-    against the leader of its lists, then all pairs of a list that are still in different
-    components, as far as size, position and differences from the leader leave them open.
-    Of a list marked `often`, only pairs with at least one `deep` set are looked at.
-    need(x, y) is the number of lists that a pair must share, 1 if not given. Without
-    `exhaustive`, pairs of lists of more than FREQUENT rows are never rows of a join: tiles()
-    compares them. Such lists must all be deep and need one shared list only.
-    texts_of(sets) gives set, text for a table of sets. n = 0 stands for a size not known.
+    Lists of rare shingles are short and sorted in place. Those of common ones are met by counts with
+    map-side combining and a join that can split them, so no task gathers a list.
     """
-    fits = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
     c = F.col
+    lead = F.min(F.struct((-c("score")).alias("score"), "set", "n", "rank"))
     by_list = Window.partitionBy("tok")
+    short = rows.where("not often").withColumns({"lead": lead.over(by_list), "least": F.min("set").over(by_list), "most": F.max("set").over(by_list)})
+    often = rows.where("often").dropDuplicates(["tok", "set"])
+    heads = often.groupBy("tok").agg(lead.alias("lead"), F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most")
+    both = short.where("least <> most").unionByName(often.join(heads, "tok"))
+    return both.select("tok", "set", "n", "rank", c("lead.set").alias("lead"), c("lead.n").alias("n_lead"), c("lead.rank").alias("rank_lead")).distinct()
 
-    def measure(star: DataFrame, known: DataFrame | None, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Overlaps of pairs (a, b) not known yet, and the texts so far."""
-        if known is not None:
-            star = star.join(known.select("a", "b").union(known.select(c("b").alias("a"), c("a").alias("b"))), ["a", "b"], "left_anti")
-        star = saved(star.select("a", "b"))
-        wanted = star.select(c("a").alias("set")).union(star.select("b")).distinct()
-        if texts is None:
-            texts = saved(texts_of(wanted))
-        else:
-            missing = saved(wanted.join(texts, "set", "left_anti"))
-            texts = texts if missing.isEmpty() else texts.union(saved(texts_of(missing)))
-        return saved(overlaps(star, texts, sets)), texts
-
-    def with_leader(rows: DataFrame) -> DataFrame:
-        """Pairs of a set with the leader of its lists, if they share enough of these."""
-        star = rows.where(fits(c("n"), c("n_lead"))).groupBy(c("set").alias("a"), c("lead").alias("b")).agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("n_lead").alias("n_lead"))
-        return star if need is None else star.where(3 * c("lists") >= shared(c("n"), c("n_lead")))
-
-    measured, texts = measure(with_leader(lists.where("set <> lead and (deep or not often)")), None, None)
-    found = components(links(measured, percent).select("a", "b"))
-    for turn in range(leaders + 1):
-        group = found.groupBy("component").agg(F.count("*").alias("members"))
-        known = found.join(group, "component").select(c("node").alias("set"), c("component").alias("comp"), "members")
-        placed = lists.join(known, "set", "left").withColumn("comp", F.coalesce("comp", "set")).withColumn("members", F.coalesce("members", F.lit(1)))
-        # a list's main component is its largest one; every open pair has a set outside it
-        main = F.min(F.struct((-c("members")).alias("less"), "comp", F.xxhash64("set", F.lit(turn)).alias("h"), "set", "n"))
-        over = {"least": F.min("comp"), "most": F.max("comp"), "main": main, "any_deep": F.max("deep"), "rows": F.count("*")}
-        for name, value in over.items():
-            placed = placed.withColumn(name, value.over(by_list))
-        placed = placed.where("least <> most and (any_deep or not often)").withColumn("pick", c("main.set")).withColumn("n_pick", c("main.n")).withColumn("main", c("main.comp"))
-        placed = saved(placed.drop("least", "most", "any_deep", "members"))
-        # in long lists with many open pairs, what is outside meets another set of the main component first
-        load = placed.where(c("rows") > FREQUENT).agg(F.sum(F.when(c("comp") != c("main"), c("rows").cast("double"))).alias("pairs"), F.count("*").alias("rows")).first()
-        if turn == leaders or (load["pairs"] or 0) <= 20 * load["rows"]:
-            break
-        again = placed.where((c("rows") > FREQUENT) & (c("comp") != c("main")) & (c("deep") | ~c("often"))).drop("lead", "n_lead").withColumnsRenamed({"pick": "lead", "n_pick": "n_lead"})
-        more, texts = measure(with_leader(again), measured, texts)
-        discard(placed)
-        edges = links(more, percent).select("a", "b")
-        measured = measured.unionByName(more)
-        if 50 * edges.count() < more.count():
-            leaders = turn + 1  # hardly a link: the next turn is the last
-        found = components(found.where("node <> component").select(c("node").alias("a"), c("component").alias("b")).union(edges))
-    open_ = placed
-    tiled = None
-    if not exhaustive:
-        long = placed.where(c("rows") > FREQUENT).withColumn("outside", F.count_if(c("comp") != c("main")).over(by_list))
-        tiled = saved(tiles(long, texts, sets, percent))
-        placed = placed.where(c("rows") <= FREQUENT)
-    apart = measured.select(c("a").alias("set"), c("b").alias("lead"), (c("n_a") + c("n_b") - 2 * c("common")).alias("differs"))
-    placed = placed.join(apart, ["set", "lead"], "left").withColumn("differs", F.when(c("set") == c("lead"), 0).otherwise(c("differs")))
-    placed = placed.select("tok", "set", "n", "rank", "k", "comp", "main", "lead", "differs", "often", "deep")
-    if need is not None:
-        left = placed.groupBy("set").agg(F.count("*").alias("open"))
-        placed = placed.join(left, "set").where(c("open") + F.when(c("deep"), 0).otherwise(c("k")) >= least_shared(c("n"))).drop("open")
-    placed = saved(placed)
-    discard(open_)
-    x, y = placed.where("comp <> main").alias("x"), placed.alias("y")
-    # overlap needed: at least percent / (100 + percent) of the summed sizes
-    total, upper = c("x.n") + c("y.n"), F.least(c("x.rank"), c("y.rank")) + F.least(c("x.n") - c("x.rank"), c("y.n") - c("y.rank"))
-    most_apart = total * (100 - percent) / (100 + percent)
-    far = F.when((c("x.lead") == c("y.lead")) & (c("x.n") > 0) & (c("y.n") > 0), F.abs(c("x.differs") - c("y.differs")) > most_apart)
-    open_pair = (c("x.tok") == c("y.tok")) & (c("x.comp") != c("y.comp")) & fits(c("x.n"), c("y.n")) & ((100 + percent) * upper >= percent * total) & ~F.coalesce(far, F.lit(False)) & (~c("x.often") | c("x.deep") | c("y.deep"))
-    # of two outsiders only one order is kept
-    open_pair = open_pair & ((c("y.comp") == c("y.main")) | (c("x.set") < c("y.set")))
-    least = need(lambda f: c(f"x.{f}"), lambda f: c(f"y.{f}")) if need else F.lit(1)
-    rest = x.join(y, open_pair).groupBy(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b"), least.alias("need")).agg(F.count("*").alias("lists")).where("lists >= need").select("a", "b")
-    known = measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more, _ = measure(rest, known, texts)
-    more = links(more, percent).select("a", "b")
-    if tiled is not None:
-        more = more.union(tiled)
-    if more.isEmpty():
-        return found
-    return components(found.where("node <> component").select(c("node").alias("a"), c("component").alias("b")).union(more))
-
-
-def linked(x: pa.Table, y: pa.Table, sets: Callable, percent: int) -> list[tuple[int, int]]:
-    """Links (row of x, row of y) that connect all components of x and y which a link connects, without rings."""
-    (xs, xat), (ys, yat) = sets(x.column("text").combine_chunks()), sets(y.column("text").combine_chunks())
-    n_x, n_y = np.diff(xat), np.diff(yat)
-    comp_x, comp_y = x.column("comp").to_numpy(), y.column("comp").to_numpy()
-    order = np.argsort(ys, kind="stable")
-    holds, of = ys[order], np.repeat(np.arange(len(n_y)), n_y)[order]
-    lo, hi = np.searchsorted(holds, xs), np.searchsorted(holds, xs, "right")
-    up: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while up.get(v, v) != v:
-            up[v] = v = up.get(up[v], up[v])
-        return v
-
-    out = []
-    for k in np.flatnonzero(n_x > 0):
-        a, n = lo[xat[k] : xat[k + 1]], (hi - lo)[xat[k] : xat[k + 1]]
-        common = np.bincount(of[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(n_y))
-        for j in np.flatnonzero((100 * common >= percent * (n_x[k] + n_y - common)) & (comp_y != comp_x[k])):
-            p, q = find(int(comp_x[k])), find(int(comp_y[j]))
-            if p != q:
-                up[p] = q
-                out.append((int(k), int(j)))
-    return out
-
-
-def tiles(lists: DataFrame, texts: DataFrame, sets: Callable, percent: int) -> DataFrame:
-    """a, b: links between the components of each list(tok, set, comp, main, rows, outside), from all pairs of what is outside the main one with all sets.
-
-    Both sides of a list are dealt into blocks of about TILE sets, and each block of one meets each of the
-    other in a task of its own. So a set is copied once for each block it meets, not for each set.
-    """
-    c = F.col
-    blocks = lambda n: F.ceil(n / TILE).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("set"), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    rows = lists.join(texts, "set")
-    x = rows.where("comp <> main").select("tok", own(c("outside")).alias("i"), every(c("rows")).alias("j"), "set", "comp", "text", F.lit(True).alias("outer"))
-    y = rows.select("tok", every(c("outside")).alias("i"), own(c("rows")).alias("j"), "set", "comp", "text", F.lit(False).alias("outer"))
-
-    def run(both: pa.Table) -> pa.Table:
-        outer = both.column("outer")
-        x, y = both.filter(outer), both.filter(pc.invert(outer))
-        at = linked(x, y, sets, percent) if len(x) and len(y) else []
-        a, b = (pa.array([pair[k] for pair in at], pa.int64()) for k in (0, 1))
-        return pa.table({"a": x.column("set").take(a), "b": y.column("set").take(b)})
-
-    return x.union(y).groupBy("tok", "i", "j").applyInArrow(run, "a long, b long")
 
-
-def join(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach, itself included."""
-    by_list = Window.partitionBy("tok")
-    rows = postings(docs).withColumn("size", F.count("*").over(by_list)).withColumn("first", F.min(F.struct("set", "n")).over(by_list)).withColumn("last", F.max("set").over(by_list)).withColumn("least", F.min("set").over(by_list))
-    rows = rows.where("rank = -1 or least <> last").select("tok", "set", "n", "rank", "size", F.col("first.set").alias("lead"), F.col("first.n").alias("n_lead"))
-    rows = saved(rows.dropDuplicates(["tok", "set", "rank"]))
-    members = saved(rows.where("rank = -1").select(F.col("set").alias("doc_id"), F.col("tok").alias("set"), "n", F.col("lead").alias("first_id")))
-    lists = rows.where("rank >= 0").withColumn("often", F.col("size") > frequent).drop("size")
-    # a set is deep if its reserve of other elements does not make up for its frequent ones
-    shares = lists.groupBy("set", "n").agg(F.count_if("often").cast("int").alias("k"), F.count("*").alias("lists")).where(F.col("lists") >= least_shared(F.col("n"))).select("set", "k")
-    lists = lists.join(shares, "set").withColumn("deep", F.col("k") > reserve(F.col("n")) - head(F.col("n")))
-    lists = saved(lists)
-    discard(rows)
+    c = F.col
+    uses, members = met_again(docs)
+    table = levels(uses)
+    raw = saved(postings(docs, table))
+    lists = saved(lists_of(raw))
+    discard(raw)
+    # a set goes by its least doc_id, so that the least node of a component is its component_id
+    firsts = saved(members.groupBy("set", "n").agg(F.min("doc_id").alias("id")))
 
     def texts_of(sets: DataFrame) -> DataFrame:
-        ids = members.where("doc_id = first_id").join(sets, "set", "left_semi").select("doc_id", "set").dropDuplicates(["doc_id"])
-        bits = sieve(ids.select("doc_id"))
+        """set, id, text, found by doc_id and checked by hash, as a doc_id can have several texts."""
+        ids = firsts.join(sets, "set", "left_semi").select("id", "set")
+        bits = sieve(ids.select("id"))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(in_sieve(bits, batch.column("doc_id").to_numpy(zero_copy_only=False))))
-
-        some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(K.lean(pick), "doc_id long, text string")
-        one = some.join(ids, "doc_id")
-        return one.dropDuplicates(["set"]).select("set", "text")
-
-    found = settle(lists, texts_of, sets_of, need=needed)
-    placed = members.join(found.withColumnRenamed("node", "set"), "set", "left")
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "first_id").alias("component_id"))
+                some = batch.filter(pa.array(in_sieve(bits, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+                for a, b in K.chunks(K.utf8(some.column("text"))[1]):
+                    part = some.slice(a, b - a)
+                    own = identity(*sets_of(part.column("text")), part.column("doc_id").to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.view(np.int64)), part.column("text")], ["id", "set", "text"])
+
+        some = _rows(docs).mapInArrow(K.lean(pick), "id long, set long, text string")
+        return some.join(ids, ["id", "set"]).dropDuplicates(["set"])
+
+    def measure(pairs: DataFrame, texts: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The pairs, which of them link, by id, and the texts so far."""
+        pairs = saved(pairs)
+        wanted = pairs.select(c("a").alias("set")).union(pairs.select("b")).distinct()
+        if texts is None:
+            texts = saved(texts_of(wanted))
+        else:
+            missing = saved(wanted.join(texts, "set", "left_anti"))
+            texts = texts if missing.isEmpty() else texts.unionByName(saved(texts_of(missing)))
+        found = saved(links(overlaps(pairs, texts, sets_of)))
+        return pairs, found, texts
+
+    def by_id(edges: DataFrame) -> DataFrame:
+        id_of = lambda name: firsts.select(c("set").alias(name), c("id").alias(f"id_{name}"))
+        return edges.join(id_of("a"), "a").join(id_of("b"), "b").select(c("id_a").alias("a"), c("id_b").alias("b"))
+
+    star = lists.where((c("set") != c("lead")) & possible(c("n"), c("rank"), c("n_lead"), c("rank_lead")))
+    star, linked, texts = measure(star.select(F.greatest("set", "lead").alias("a"), F.least("set", "lead").alias("b")).distinct(), None)
+    found = components(by_id(linked))
+    comp = firsts.join(found, c("id") == c("node"), "left").select("set", F.coalesce("component", "id").alias("comp"))
+    placed = saved(lists.join(comp, "set"))
+    over = placed.groupBy("tok").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.when(c("set") == c("lead"), c("comp"))).alias("main")).where("least <> most")
+    open_ = saved(placed.join(over.select("tok", "main"), "tok").select("tok", "set", "n", "rank", "comp", "main"))
+    discard(lists, placed)
+    x, y = open_.where("comp <> main").alias("x"), open_.alias("y")
+    # of two sets outside the main component only one order is kept
+    once = (c("y.comp") == c("y.main")) | (c("x.set") < c("y.set"))
+    apart = x.join(y, (c("x.tok") == c("y.tok")) & (c("x.comp") != c("y.comp")) & possible(c("x.n"), c("x.rank"), c("y.n"), c("y.rank")) & once)
+    rest = apart.select(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    _, more, _ = measure(rest, texts)
+    found = components(by_id(linked.union(more)))
+    named = firsts.join(found, c("id") == c("node"), "left").select("set", F.coalesce("component", "id").alias("component_id"))
+    return members.join(named, "set").select("doc_id", c("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents of which each is the first of its component: one of each group of near copies stays."""
+    """The documents of which each is the first of its component: one of each group of near copies stays.
+
+    Rows of one doc_id are one document; of several, the one with the least text stays.
+    """
     first = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    kept = docs.join(first, "doc_id", "left_semi")
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    tag = "_"
+    while tag in docs.columns:
+        tag += "_"
+    one = kept.join(many, "doc_id", "left_semi").withColumn(tag, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(tag) == 1).drop(tag)
+    return kept.join(many, "doc_id", "left_anti").unionByName(one)
