@@ -112,10 +112,10 @@ class Index:
         width = 2 * (edits(SEGMENT * 2) + 1)
         for shift in (0, width // 2):
             band = (diagonal + shift) // width
-            order = np.lexsort((place, band, item))
-            b, i, p = band[order], item[order], place[order]
+            order = np.lexsort((place, band, item, row))
+            b, i, p, of = band[order], item[order], place[order], row[order]
             new = np.ones(len(order), bool)
-            new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
+            new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1]) | (of[1:] != of[:-1])
             starts = np.append(np.flatnonzero(new), len(order))
             sizes = np.diff(starts)
             least = np.array([min(bound(e - s) for s, e in segs) if segs else 1 << 30 for segs in self.segments])
