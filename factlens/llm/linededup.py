@@ -248,15 +248,15 @@ def across(x: np.ndarray, y: np.ndarray, values: np.ndarray, at: np.ndarray) ->
     return pairs[:, 0], pairs[:, 1]
 
 
-#: Rows of a list up to which all its pairs are counted together with those of other lists.
-FEW = 32
+#: Rows and shingles of a list up to which all its pairs are counted together with those of other lists.
+FEW, SMALL = 16, 1 << 14
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b: links between components, from rows (tok, i, j, set, comp, text, outer) sorted by block (tok, i, j).
 
-    In a block each row with `outer` is compared with each other row. Blocks are taken whole, as many at a time as
-    make up TILE rows; none has more than 2 * TILE.
+    In a block each row with `outer` is compared with each other row. Blocks are taken whole, about TILE rows at a
+    time; none has more than 2 * TILE or so.
     """
 
     def links_in(rows: pa.Table) -> pa.RecordBatch | None:
@@ -267,14 +267,15 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comp, ids = rows.column("comp").to_numpy(), rows.column("set").to_numpy()
         outer = rows.column("outer").to_numpy(zero_copy_only=False).astype(bool)
         values, at = char_sets(rows.column("text").combine_chunks())
-        few = np.flatnonzero(size[group] <= FEW)
+        n = np.diff(at)
+        is_few = (size <= FEW) & (np.bincount(group, n) <= SMALL)
+        few = np.flatnonzero(is_few[group])
         found = []
         if len(few):
-            n = np.diff(at)
             part = np.concatenate([[0], np.cumsum(n[few])])
             a, b = in_one_list(group[few], values[np.repeat(at[few] - part[:-1], n[few]) + np.arange(part[-1])], part)
             found.append((few[a], few[b]))
-        for g in np.flatnonzero(size > FEW):
+        for g in np.flatnonzero(~is_few):
             own = np.arange(start[g], start[g] + size[g])
             if outer[own].any():
                 found.append(across(own[outer[own]], own, values, at))
@@ -297,7 +298,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = int(change[-1]) + 1 if len(change) else 0
         first = 0
         while first < end:
-            stop = min(first + 8 * TILE, end)
+            stop = min(first + TILE, end)
             if stop < end:
                 key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("tok", "i", "j")])
                 change = np.flatnonzero((key[:, first + 1 : end] != key[:, first : end - 1]).any(0)) + first + 1
@@ -384,8 +385,8 @@ def judge(docs: DataFrame) -> DataFrame:
     placed = saved(uses.join(groups(docs), "line", "left").where("uses > 1 or component is not null").withColumn("component", F.coalesce("component", "line")))
     best = placed.groupBy("component").agg(F.min(F.struct("first", "line")).alias("best")).select("best.first", "best.line")
     # joined by line, never by component: a group may hold a large share of all lines
-    marked = placed.select("line").join(best, "line", "left")
-    judged = seen.join(marked.withColumn("many", F.lit(True)), "line", "left")
+    marked = saved(placed.select("line").join(best, "line", "left").withColumn("many", F.lit(True)))
+    judged = seen.join(marked, "line", "left")
     kept = F.col("many").isNull() | F.coalesce(F.col("first") == F.struct("doc_id", "line_no"), F.lit(False))
     return judged.select("doc_id", "line_no", kept.alias("kept"))
 
