@@ -67,9 +67,24 @@ def is_version_text(version: Column) -> Column:
     return version.rlike(r"^[A-Za-z0-9.+_-]+\z")
 
 
-def is_tool_witness(text: Column, tools: tuple[str, ...] = ("clippy", "kani", "prusti", "creusot", "miri", "loom", "proptest", "cargo")) -> Column:
-    """Whether a witness names an external tool, `tool:...` or `tool::...`."""
-    return F.trim(text).rlike(r"^(?:" + "|".join(tools) + r")(?::|::)")
+#: Tools by the start of a witness, and names that count wherever they stand (fixed values).
+TOOLS, TOOL_WORDS = ["clippy", "kani", "prusti", "creusot", "verus", "mutants"], ["clippy_", "kani_proof"]
+
+
+def compact_path(text: Column) -> Column:
+    """A witness with its white space folded, and none around `::` and within `<>`."""
+    out = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), " ?:: ?", "::")
+    return F.trim(F.replace(F.replace(out, F.lit("< "), F.lit("<")), F.lit(" >"), F.lit(">")))
+
+
+def is_tool_witness(text: Column) -> Column:
+    """Whether a witness names an external tool, in any case."""
+    return F.lower(text).rlike(rf"^(?:{'|'.join(TOOLS)})::|{'|'.join(TOOL_WORDS)}")
+
+
+def is_phantom_type(text: Column) -> Column:
+    """Whether a witness is a type with arguments, `Path::<A, B>`, at its first `::<`; nested arguments do not count."""
+    return F.regexp_replace(text, r"(?:\(\))+$", "").rlike(r"^(?s:(?!::<).)*::<[^<>]*>")
 
 
 #: Words that mark a fix in a commit subject (fixed values).
@@ -193,7 +208,7 @@ TIERS = ["none", "reachability", "execution", "formal_proof"]
 STRENGTHS = ["git_trust", "ssh", "gpg", "sigstore"]
 PROVENANCES = ["encountered", "constructable", "imagined"]
 CATEGORIES = ["functional_correctness", "substrate_alignment"]
-BOUNDARY_KINDS = ["network", "filesystem", "ffi", "user_input", "deserialization", "ipc", "environment", "database", "cli", "plugin", "hardware", "time", "randomness"]
+BOUNDARY_KINDS = ["api_request", "api_response", "mcp_invocation", "external_link", "iframe", "database_query", "cross_service", "subprocess_launch", "dependency_import", "user_input", "filesystem_path", "environment_variable", "shell_argument"]
 
 
 def rank_of(value: Column, order: list[str]) -> Column:

@@ -9,6 +9,8 @@ from ..functions import scalars as S
 from .joins import resolve_delegates
 
 GRACE_DAYS, CHRONIC_DAYS = 30, 365
+#: What a deferral of each kind is called once its date has passed (fixed values).
+PAST_HINTS = {"anergy": "anergy-costimulation-not-arrived", "immunosuppress": "immunosuppress-expired", "poxparty": "poxparty-outcome-pending", "orient": "orient-pending-action-required"}
 MIN_ITERATIONS, MIN_SPAN = 100, 30
 
 
@@ -24,12 +26,12 @@ def function_index(functions: DataFrame) -> DataFrame:
 def audit_witness(immunities: DataFrame, functions: DataFrame) -> DataFrame:
     """status and tier of each witness text: missing, external, phantom, not_found, resolved or ambiguous.
 
-    A code witness never exceeds reachability; only a phantom type reaches formal proof.
+    A code witness never exceeds reachability; only a phantom type, whose type arguments are not nested, reaches formal proof.
     """
-    text = F.trim(F.coalesce("witness", F.lit("")))
-    name = F.regexp_replace(F.substring_index(F.regexp_replace(text, r"\(.*\)$", ""), "::", -1), r"\s", "")
+    text = S.compact_path(F.coalesce("witness", F.lit("")))
+    name = F.trim(F.regexp_replace(F.substring_index(text, "::", -1), r"(?:\(\))+$", ""))
     rows = immunities.withColumn("_name", name).join(function_index(functions).select(F.col("name").alias("_name"), F.col("uses").alias("_uses"), F.col("kind").alias("witness_kind")), "_name", "left")
-    status = F.when(text == "", "missing").when(S.is_tool_witness(text), "external").when(text.contains("::<"), "phantom").when(F.col("_uses").isNull(), "not_found").when(F.col("_uses") > 1, "ambiguous").otherwise("resolved")
+    status = F.when(text == "", "missing").when(S.is_tool_witness(text), "external").when(S.is_phantom_type(text), "phantom").when(F.col("_uses").isNull(), "not_found").when(F.col("_uses") > 1, "ambiguous").otherwise("resolved")
     rows = rows.withColumn("status", status)
     return rows.withColumn("tier", witness_tier(F.col("status"))).drop("_name", "_uses")
 
@@ -76,20 +78,26 @@ def audit_category(classes: DataFrame, witnesses: DataFrame) -> DataFrame:
     ).drop("_code", "_sub")
 
 
-def audit_deferred(deferred: DataFrame, as_of: Column) -> DataFrame:
-    """state of each deferral by kind and dates, with GRACE_DAYS of grace; an unparsable date is malformed, none is open."""
-    until, since = S.iso_date(F.col("until")), S.iso_date(F.col("since"))
-    over = F.datediff(as_of, until)
-    capped = F.datediff(until, F.coalesce(since, as_of)) > F.coalesce("duration_cap", F.lit(90))
-    state = (
-        F.when(F.col("until").isNull(), F.when(F.col("kind") == "orient", "active").otherwise("open"))
-        .when(until.isNull(), "malformed")
-        .when((F.col("kind") == "immunosuppress") & capped, "over_cap")
-        .when(over <= 0, "active")
-        .when(over <= GRACE_DAYS, "grace")
-        .otherwise("expired")
+def audit_deferred(deferred: DataFrame, as_of: Column, grace_days: int = GRACE_DAYS) -> DataFrame:
+    """hint of each deferral, by its kind and dates, and state: active, expired or stale.
+
+    Without `until` (or with an empty one) a deferral is active; one that is no date escalates like one that has passed.
+    Grace belongs to anergy alone: past it, it is stale. An immunosuppression that is older than its cap is stale
+    whatever its `until`; the cap needs both `since`, as a date, and `duration_cap`.
+    """
+    until, since, kind = S.iso_date(F.col("until")), S.iso_date(F.col("since")), F.col("kind")
+    holds = (F.coalesce("until", F.lit("")) == "") | F.coalesce(until >= as_of, F.lit(False))
+    over_cap = F.coalesce(F.datediff(as_of, since) > F.col("duration_cap"), F.lit(False))
+    too_late = F.coalesce(F.datediff(as_of, until) > grace_days, F.lit(False))
+    past = F.element_at(F.create_map(*(F.lit(x) for k, v in PAST_HINTS.items() for x in (k, v))), kind)
+    hint = (
+        F.when((kind == "immunosuppress") & over_cap, "immunosuppress-duration-cap-exceeded")
+        .when(holds, F.concat(kind, F.lit("-active")))
+        .when((kind == "anergy") & too_late, "anergy-stale")
+        .otherwise(past)
     )
-    return deferred.withColumn("state", state)
+    state = F.when(F.endswith("hint", F.lit("-active")), "active").when(F.col("hint").isin("anergy-stale", "immunosuppress-duration-cap-exceeded"), "stale").otherwise("expired")
+    return deferred.withColumn("hint", hint).withColumn("state", state)
 
 
 def audit_convergent(evidence: DataFrame) -> DataFrame:
@@ -170,19 +178,26 @@ def resolve_ref(ref: Column, labels: Column) -> Column:
 
 
 def audit_prescriptive(orders: DataFrame, labels: DataFrame, as_of: Column) -> DataFrame:
-    """satisfied, evaluable, frame and verdict of each work order; labels: one row with all site labels in `labels`.
+    """satisfied, evaluable, frame and verdict of each work order; labels: rows with site labels in the array `labels`.
 
     Lists are satisfied when every item resolves, orders when items are in priority and named, requests when filled and
-    reviewed, waits when their frame has passed.
+    reviewed, waits when their frame has passed. Items meet labels by an equality join: a label can be met by itself and
+    by each of its ends at a `::`.
     """
     shape = F.element_at(F.create_map(*(F.lit(x) for k, v in WORK_SHAPES.items() for x in (k, v))), F.col("kind"))
-    rows = orders.join(F.broadcast(labels.limit(1))).withColumn("shape", shape).withColumn("frame_state", S.frame_state(F.col("frame"), as_of))
+    parts = F.split("label", "::")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "::"))
+    names = labels.select(F.explode("labels").alias("label")).distinct().select(F.explode(ends).alias("_item")).distinct().withColumn("_met", F.lit(True))
+    wanted = orders.select(F.explode("items").alias("_item")).distinct().join(names, "_item").select("_item", "_met")
+    rows = orders.withColumn("_row", F.monotonically_increasing_id())
+    met = rows.select("_row", F.explode("items").alias("_item")).join(wanted, "_item", "left").groupBy("_row").agg(F.bool_and(F.coalesce("_met", F.lit(False))).alias("_all"))
+    rows = rows.join(met, "_row", "left").withColumn("shape", shape).withColumn("frame_state", S.frame_state(F.col("frame"), as_of))
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    all_met = F.forall("items", lambda i: resolve_ref(i, F.col("labels")))
+    all_met = F.coalesce("_all", F.col("items").isNotNull())
     evaluable = F.when(F.col("frame_state") == "unparsable", False).when(F.col("shape").isin("list", "order"), some("items")).when(F.col("shape") == "request", F.lit(True)).otherwise(F.col("frame").isNotNull())
     satisfied = F.when(F.col("shape") == "list", all_met).when(F.col("shape") == "order", all_met & F.col("ordered_by").isNotNull()).when(F.col("shape") == "request", some("filled_by") & some("reviewed_by")).otherwise(F.col("frame_state") == "past")
     rows = rows.withColumn("evaluable", F.coalesce(evaluable, F.lit(False))).withColumn("satisfied", F.coalesce(satisfied, F.lit(False)))
-    return rows.withColumn("verdict", work_verdict(F.col("evaluable"), F.col("satisfied"), F.col("frame_state"))).drop("labels")
+    return rows.withColumn("verdict", work_verdict(F.col("evaluable"), F.col("satisfied"), F.col("frame_state"))).drop("_row", "_all")
 
 
 def finding_from_mark(marks: DataFrame) -> DataFrame:
@@ -197,7 +212,7 @@ def finding_from_mark(marks: DataFrame) -> DataFrame:
 def trailer_state(trailers: Column, key: str) -> Column:
     """The first trailer with the key in any case: absent, empty or present."""
     found = F.filter(trailers, lambda t: F.startswith(F.lower(t), F.lit(key.lower() + ":")))
-    value = F.trim(F.substring(F.get(found, F.lit(0)), len(key) + 2, 1_000_000))
+    value = F.trim(F.regexp_replace(F.get(found, F.lit(0)), "^[^:]*:", ""))
     return F.when(F.size(found) == 0, "absent").when(value == "", "empty").otherwise("present")
 
 
@@ -245,12 +260,14 @@ def dep_attested(wanted: DataFrame, records: DataFrame, exact: bool = True) -> D
 
 
 def content_hash(wanted: DataFrame, lock: DataFrame, records: DataFrame) -> DataFrame:
-    """matches, mismatch, no_record, absent_in_lock or malformed for wanted(name, version)."""
+    """matches, mismatch, no_record, malformed or absent_in_lock for wanted(name, version).
+
+    The record is looked at first, then the lock file. A record without a checksum could not be read and is malformed.
+    """
     keys = ["name", "version"]
-    rows = wanted.join(lock.select(*keys, F.col("checksum").alias("_lock"), F.lit(True).alias("_in")), keys, "left").join(records.select(*keys, F.col("checksum").alias("_rec")), keys, "left")
-    ok = lambda c: c.rlike("^[0-9a-f]{64}$")
-    state = F.when(F.col("_in").isNull() | F.col("_lock").isNull(), "absent_in_lock").when(F.col("_rec").isNull(), "no_record").when(~ok(F.col("_rec")), "malformed").when(F.col("_rec") == F.col("_lock"), "matches").otherwise("mismatch")
-    return rows.withColumn("state", state).drop("_lock", "_in", "_rec")
+    rows = wanted.join(lock.select(*keys, F.col("checksum").alias("_lock")), keys, "left").join(records.select(*keys, F.col("checksum").alias("_rec"), F.lit(True).alias("_is")), keys, "left")
+    state = F.when(F.col("_is").isNull(), "no_record").when(F.col("_rec").isNull(), "malformed").when(F.col("_lock").isNull(), "absent_in_lock").when(F.col("_rec") == F.col("_lock"), "matches").otherwise("mismatch")
+    return rows.withColumn("state", state).drop("_lock", "_is", "_rec")
 
 
 def maintainer(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -106,15 +106,25 @@ def _trailer(a: dict) -> Column:
     return F.when(F.col("trailers").isNotNull(), F.size(F.filter("trailers", lambda t: t.rlike("^" + mark + role))) >= a.get("count", 1))
 
 
+#: The entries of a sidecar that name an oracle, as far as they are looked at here.
+ORACLES = "array<struct<path:string,state:string,invalidates:boolean>>"
+
+
 def _oracles(a: dict) -> Column:
-    """All files complete; the first file that is not decides: unreadable is null, draft, revoked and others are false."""
+    """All files complete; the first file that is not decides.
+
+    An entry of the sidecar only blocks: a draft, or a revoked one that invalidates, is false. Otherwise the file's own
+    status decides, by path in the map `oracle_files`: no status is null (unreadable), any but complete false.
+    """
     states = []
     of_path = lambda path: lambda o: o["path"] == path
     for path in a["files"]:
-        found = F.filter("oracles", of_path(path))
-        states.append(F.when(F.size(found) > 0, F.when(F.get(found, F.lit(0))["state"] == "complete", "ok").otherwise("no")).otherwise("unread"))
+        entry = F.get(F.filter(F.coalesce("oracles", F.array().cast(ORACLES)), of_path(path)), F.lit(0))
+        blocks = F.coalesce((entry["state"] == "draft") | ((entry["state"] == "revoked") & F.coalesce(entry["invalidates"], F.lit(False))), F.lit(False))
+        status = F.try_element_at(F.col("oracle_files"), F.lit(path))
+        states.append(F.when(blocks, "no").when(status.isNull(), "unread").when(status == "complete", "ok").otherwise("no"))
     first = F.filter(F.array(*states), lambda s: s != "ok")
-    return F.when(F.col("oracles").isNull(), None).when(F.size(first) == 0, True).when(F.get(first, F.lit(0)) == "no", False)
+    return F.when(F.size(first) == 0, True).when(F.get(first, F.lit(0)) == "no", False)
 
 
 def _fresh(a: dict, as_of: Column) -> Column:

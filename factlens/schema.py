@@ -28,7 +28,7 @@ RELATIONS = {
     "commits": "id string, parent string, subject string, files array<string>, cosmetic_only boolean, seq bigint",
     "blamed": "fix_id string, introducing_commit string, path string",
     "deps": "name string, version string, section string",
-    "sidecars": "item_path string, current_digest string, signers array<struct<name:string,role:string,date:date,against:string,basis:struct<kind:string,prior:string,root:string,depth:int,rationale:string>,strength:string>>, oracles array<struct<path:string,state:string,invalidates:boolean,stewards:array<struct<name:string,basis:string>>,transitions:array<struct<from:string,to:string,by:string,at:date,rationale:string>>>>, trailers array<string>, fresh_through date",
+    "sidecars": "item_path string, current_digest string, signers array<struct<name:string,role:string,date:date,against:string,basis:struct<kind:string,prior:string,root:string,depth:int,rationale:string>,strength:string>>, oracles array<struct<path:string,state:string,invalidates:boolean,stewards:array<struct<name:string,basis:string>>,transitions:array<struct<from:string,to:string,by:string,at:date,rationale:string>>>>, trailers array<string>, fresh_through date, oracle_files map<string,string>",
     "scores": "class string, seq bigint, recall double, precision double",
     "nodes": "fq_path string, tier string, identity_digest string, cfg_set string, kind string, shape_digest string, revision bigint",
     "edges": "src string, dst string, kind string, tier string",

@@ -108,13 +108,28 @@ def write_report(report: DataFrame, path: str, **provenance) -> None:
     envelope(report, **provenance).write.mode("overwrite").json(f"{path}/envelope")
 
 
-def flycheck_lines(findings: DataFrame) -> DataFrame:
-    """value: a compiler-message JSON line for each pattern match; other findings give none."""
-    level = F.when(F.col("severity") == "high", "error").otherwise("warning")
-    span = F.struct(F.col("file").alias("file_name"), F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.lit(True).alias("is_primary"))
-    message = F.struct(level.alias("level"), F.concat(F.col("body.class"), F.lit(" at "), F.col("file"), F.lit(":"), F.col("line").cast("string")).alias("message"), F.array(span).alias("spans"))
+#: How far a class is proven, as a message says it (fixed values).
+PROVENANCE_LABELS = {"encountered": "encountered (seen in real code)", "constructable": "constructable (a verified minimal case exists)", "heuristic": "heuristic (correlational)", "imagined": "imagined (reasoned, no demo yet)"}
+
+
+def flycheck_lines(findings: DataFrame, tool: str = "factlens") -> DataFrame:
+    """value: a compiler-message JSON line for each pattern match; other findings give none.
+
+    Always a warning, whatever the severity: a match is something to look at, not a verdict. The whole line is the span.
+    The messages' wording and the order of fields are fixed values; the tool's name is a parameter.
+    """
+    class_, one = F.col("body.class"), F.lit(1)
+    label = F.element_at(F.create_map(*(F.lit(x) for k, v in PROVENANCE_LABELS.items() for x in (k, v))), F.col("class_provenance"))
+    text = F.format_string(f"{tool}: structure matches the `%s` failure-class fingerprint (provenance: %s). This is a fingerprint match to inspect, not an audited verdict.", class_, label)
+    hint = F.format_string(f"fingerprint match only — {tool} has not audited a defense for this site. Mark it with #[presents(%1$s)] + #[defended_by(...)] to record the defense, or #[{tool}_tolerance(%1$s, rationale=...)] to accept it.", class_)
+    none = F.lit(None).cast("string")
+    code = F.struct(F.concat(F.lit(f"{tool}::"), class_).alias("code"), none.alias("explanation"))
+    span = F.struct(F.col("file").alias("file_name"), F.col("line").alias("line_start"), F.col("line").alias("line_end"), one.alias("column_start"), one.alias("column_end"), F.lit(True).alias("is_primary"))
+    empty = F.array().cast("array<string>")
+    note = F.struct(hint.alias("message"), F.lit("note").alias("level"), none.alias("code"), empty.alias("spans"), empty.alias("children"), none.alias("rendered"))
+    message = F.struct(text.alias("message"), F.lit("warning").alias("level"), code.alias("code"), F.array(span).alias("spans"), F.array(note).alias("children"), F.concat(F.lit("warning: "), text).alias("rendered"))
     rows = findings.where("body.kind = 'fingerprint_match'")
-    return rows.select(F.to_json(F.struct(F.lit("compiler-message").alias("reason"), message.alias("message"))).alias("value"))
+    return rows.select(F.to_json(F.struct(F.lit("compiler-message").alias("reason"), message.alias("message")), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def strict_gate(counts: DataFrame) -> DataFrame:

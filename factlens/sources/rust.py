@@ -302,7 +302,7 @@ def violations(rows: DataFrame, relation: str, as_of=None) -> DataFrame:
         "marks": lambda: [(blank("trigger"), "trigger missing")],
         "deferred": lambda: [(F.col("kind").isin("anergy", "immunosuppress", "poxparty", "orient") & short("text", 20), "text too short"), (F.col("until").isNull(), "until missing"), ((F.col("kind") == "orient") & ~F.coalesce(F.datediff(until, as_of).between(0, 180), F.lit(False)), "until out of range")],
         "evidence": lambda: [((F.col("kind") == "diagnostic") & (F.coalesce(F.size("modalities"), F.lit(0)) < 1), "no modality"), ((F.col("kind") == "diagnostic") & (F.col("min_independent") > F.size(F.array_distinct("modalities"))), "min_independent above distinct modalities"), ((F.col("kind") == "clonal") & ~F.coalesce(F.col("iterations") > 0, F.lit(False)), "iterations missing")],
-        "boundaries": lambda: [(~F.coalesce(F.col("boundary_kind").isin(S.BOUNDARY_KINDS), F.lit(False)), "unknown boundary kind"), (short("rationale", 20), "rationale too short")],
+        "boundaries": lambda: [(S.enum_value(F.col("boundary_kind"), S.BOUNDARY_KINDS).isNull(), "unknown boundary kind"), (short("rationale", 20), "rationale too short")],
         "work_orders": lambda: [((F.col("kind").isin("panel", "ddx", "triage")) & (F.coalesce(F.size("items"), F.lit(0)) < 1), "no items")],
     }
     tests = rules[relation]()

@@ -81,11 +81,20 @@ def test_diamond_inherits_once(spark):
 
 def test_audits(spark):
     as_of = F.lit("2026-01-31").cast("date")
-    rows = frame(spark, "deferred", *({"kind": k, "until": u, "since": s} for k, u, s in (("anergy", "2026-02-01", None), ("anergy", "2026-01-01", None), ("anergy", "2025-12-31", None), ("anergy", "soon", None), ("orient", None, None), ("immunosuppress", "2026-12-31", "2026-01-01"))))
-    assert [r["state"] for r in U.audit_deferred(rows, as_of).collect()] == ["active", "grace", "expired", "malformed", "active", "over_cap"]
+    cases = {
+        ("anergy", "2026-01-31", None, None): "anergy-active", ("anergy", "2026-01-01", None, None): "anergy-costimulation-not-arrived", ("anergy", "2025-12-31", None, None): "anergy-stale", ("anergy", "soon", None, None): "anergy-costimulation-not-arrived",
+        ("anergy", "", None, None): "anergy-active", ("orient", None, None, None): "orient-active", ("orient", "2026-01-30", None, None): "orient-pending-action-required", ("poxparty", "2025-01-01", None, None): "poxparty-outcome-pending",
+        ("immunosuppress", "2026-12-31", "2026-01-01", 30): "immunosuppress-active", ("immunosuppress", "2026-12-31", "2026-01-01", 29): "immunosuppress-duration-cap-exceeded",
+        ("immunosuppress", "2026-12-31", "2026-01-01", None): "immunosuppress-active", ("immunosuppress", "2026/01/01", "soon", 1): "immunosuppress-expired",
+    }
+    rows = frame(spark, "deferred", *({"kind": k, "until": u, "since": s, "duration_cap": c} for k, u, s, c in cases))
+    got = U.audit_deferred(rows, as_of).collect()
+    assert [r["hint"] for r in got] == list(cases.values())
+    assert [r["state"] for r in got] == ["active" if h.endswith("-active") else "stale" if h in ("anergy-stale", "immunosuppress-duration-cap-exceeded") else "expired" for h in cases.values()]
     functions = spark.createDataFrame([("t", "a", "fn"), ("dup", "a", "fn"), ("dup", "b", "fn")], RELATIONS["functions"])
-    imm = frame(spark, "immunities", *({"witness": w} for w in (None, "clippy::all", "Proof::<X>", "a::t()", "dup", "none")))
-    assert [(r["status"], r["tier"]) for r in U.audit_witness(imm, functions).collect()] == [("missing", "none"), ("external", "reachability"), ("phantom", "formal_proof"), ("resolved", "reachability"), ("ambiguous", "reachability"), ("not_found", "none")]
+    imm = frame(spark, "immunities", *({"witness": w} for w in (None, "clippy :: all", "Proof :: < X >::new()", "a::t()", "dup", "none", "P::<Option<X>>::t", "my_clippy_lint", "cargo::t", "verus::x")))
+    found = {r["witness"]: (r["status"], r["tier"]) for r in U.audit_witness(imm, functions).collect()}
+    assert [found[r["witness"]] for r in imm.collect()] == [("missing", "none"), ("external", "reachability"), ("phantom", "formal_proof"), ("resolved", "reachability"), ("ambiguous", "reachability"), ("not_found", "none"), ("resolved", "reachability"), ("external", "reachability"), ("resolved", "reachability"), ("external", "reachability")]
     verdict = U.presentation_verdict(
         spark.createDataFrame([(1, "explicit", None), (2, "explicit", "p"), (3, "explicit", "p"), (4, "fingerprint", None)], "site_id long, match_kind string, proof string"), spark.createDataFrame([(1,)], "site_id long"),
         spark.createDataFrame([], "site_id long, tier string"), spark.createDataFrame([(3, False, None), (3, True, "execution"), (2, None, None)], "site_id long, passed boolean, tier string"),
@@ -112,6 +121,25 @@ def test_supply_chain(spark):
     assert sorted((r["name"], r["version"], r["checksum"]) for r in lock.collect()) == [("a", "1", "ff"), ("b", "2", None)]
 
 
+def test_record_before_lock(spark):
+    wanted = spark.createDataFrame([(n, "1") for n in "abcdef"], "name string, version string")
+    lock = spark.createDataFrame([("a", "1", "x"), ("b", "1", "x"), ("d", "1", "x"), ("f", "2", "x")], "name string, version string, checksum string")
+    records = spark.createDataFrame([("a", "1", "x"), ("b", "1", "y"), ("c", "1", "x"), ("d", "1", None), ("f", "1", "x")], "name string, version string, checksum string")
+    got = {r["name"]: r["state"] for r in U.content_hash(wanted, lock, records).collect()}
+    assert got == {"a": "matches", "b": "mismatch", "c": "absent_in_lock", "d": "malformed", "e": "no_record", "f": "absent_in_lock"}
+
+
+def test_boundary_kinds(spark):
+    rows = spark.createDataFrame([("api-request",), ("ApiRequest",), ("iframe",), ("network",)], "boundary_kind string").withColumn("rationale", F.lit("x" * 20))
+    assert [r["boundary_kind"] for r in rust.violations(rows, "boundaries").collect()] == ["network"]
+
+
+def test_long_chains_close(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(80)], "src long, dst long")
+    assert G.closure(edges).count() == 80 * 81 // 2
+    assert sorted(r["src"] for r in G.depth_exceeded(edges).collect()) == list(range(16))
+
+
 def test_mining(spark):
     commits = spark.createDataFrame([("1", None, "start", ["a"], False, 1), ("2", "1", "Fix crash", ["a", "b"], False, 2), ("3", "2", "prefix only", ["b"], False, 3), ("4", "3", "closes #12", ["c"], True, 4)], RELATIONS["commits"])
     assert [r["id"] for r in M.fix_commits(commits).collect()] == ["2"]
@@ -170,7 +198,9 @@ def test_tree_and_sinks(spark, tmp_path):
     assert files.scan_bundled(empty(spark, "classes")).count() == len(P.CATALOG)
     finding = frame(spark, "findings", {"file": "a", "line": 3, "severity": "high", "cluster_key": "k", "class_provenance": "constructable", "body": {"kind": "fingerprint_match", "class": "C"}}, {"body": {"kind": "mark"}})
     line, = files.flycheck_lines(finding).collect()
-    assert json.loads(line["value"])["message"]["level"] == "error"
+    message = json.loads(line["value"])["message"]
+    assert message["level"] == "warning" and message["code"] == {"code": "factlens::C", "explanation": None} and message["rendered"] == "warning: " + message["message"]
+    assert message["children"][0]["level"] == "note" and message["spans"] == [{"file_name": "a", "line_start": 3, "line_end": 3, "column_start": 1, "column_end": 1, "is_primary": True}]
     assert A.session_clusters(finding).first()["provenance"] == "constructable"
     files.write_report(finding, str(tmp_path / "out"), tool_version="1", revision=None, generated="2026-01-01T00:00:00Z")
     assert spark.read.json(str(tmp_path / "out/envelope")).first()["rows"] == 2
