@@ -351,10 +351,10 @@ def settle(pairs: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFrame:
     linked = saved(links(overlaps(pairs.select("a", "b").union(star.where("a <> b")).distinct(), texts, char_sets)))
     found = components(linked)
     placed = saved(lists.join(found, c("set") == c("node"), "left").select("tok", "set", F.coalesce("component", "set").alias("comp")))
-    lead_of = heads.select("tok", "rows", c("lead.set").alias("lead"))
-    main = placed.join(lead_of, "tok").groupBy("tok").agg(F.max("rows").alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.when(c("set") == c("lead"), c("comp"))).alias("main"))
-    main = main.where("least <> most").select("tok", "rows", "main")
-    outside = placed.join(main, "tok").groupBy("tok").agg(F.count_if(c("comp") != c("main")).alias("outside"), F.max("rows").alias("rows"), F.max("main").alias("main"))
+    # from counts by list and component, so that no task gathers a band; the join below can be split
+    comp = placed.groupBy("tok", "comp").agg(F.count("*").alias("n"))
+    main = heads.select("tok", "rows", c("lead.set").alias("lead")).join(found, c("lead") == c("node"), "left").select("tok", "rows", F.coalesce("component", "lead").alias("main"))
+    outside = comp.join(main, "tok").groupBy("tok", "rows", "main").agg(F.sum(F.when(c("comp") != c("main"), c("n")).otherwise(0)).alias("outside")).where("outside > 0")
     # a list of two was decided by the pair
     open_ = saved(placed.join(outside.where("rows > 2"), "tok"))
     more = saved(blocks(open_, texts))
