@@ -16,6 +16,7 @@ from .operators import joins as J
 from .operators import learn as L
 from .operators import mining as M
 from .plans import pattern as P
+from .plans import predicate as Pr
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,10 +135,19 @@ def orphan_edges(spark, d):
     return J.anti(table(spark, d, "customer"), closed, [("c_custkey", "o_custkey")]).select("c_custkey")
 
 
-@query("SELECT DISTINCT s_suppkey AS member FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity < 3 AND l_linenumber = 1")
+@query("SELECT s_suppkey AS member FROM supplier WHERE s_suppkey % 3 <> 0")
 def unscanned_members(spark, d):
-    seen = table(spark, d, "lineitem").where("l_quantity < 3 and l_linenumber = 1")
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("member")).subtract(seen.select("l_suppkey"))
+    key = F.col("s_suppkey")
+    return J.unscanned(table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(key).alias("enumerated"), F.collect_list(F.when(key % 3 == 0, key)).alias("scanned")))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12) OR l_linenumber % 2 = 1")
+def orphaned_lineage(spark, d):
+    """Name and path of the parent must meet one and the same declaration."""
+    path = F.when(F.col("l_linenumber") % 2 == 1, "elsewhere")
+    edges = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("parent"), path.alias("parent_path"))
+    classes = table(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("type_name"), F.lit(None).cast("string").alias("canonical_path"))
+    return J.orphaned_lineage(edges, classes).select("l_orderkey", "l_linenumber")
 
 
 @query("""WITH a AS (SELECT p_partkey AS name, p_size AS v FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey AS name, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_partkey % 11 <> 0)
@@ -184,28 +194,64 @@ def frame_state(spark, d):
     return o.select("o_orderkey", S.frame_state(frame, F.lit(AS_OF).cast("date")).alias("state"))
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'open' WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') <= 0 THEN 'active' WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') <= 30 THEN 'grace' ELSE 'expired' END AS state FROM orders""")
+_KINDS = "CASE o_orderkey % 4 WHEN 0 THEN 'anergy' WHEN 1 THEN 'immunosuppress' WHEN 2 THEN 'poxparty' ELSE 'orient' END"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, {_KINDS} AS kind, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + 60 AS until, o_orderkey % 13 = 0 OR o_orderkey % 19 = 0 AS none, o_orderkey % 17 = 0 AS bad,
+o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 0 AS capped, o_orderkey % 2000 AS cap FROM orders),
+h AS (SELECT o_orderkey, CASE WHEN kind = 'immunosuppress' AND capped AND date_diff('day', d, DATE '{AS_OF}') > cap THEN 'immunosuppress-duration-cap-exceeded' WHEN none OR (NOT bad AND until >= DATE '{AS_OF}') THEN kind || '-active'
+WHEN kind = 'anergy' THEN CASE WHEN NOT bad AND date_diff('day', until, DATE '{AS_OF}') > 30 THEN 'anergy-stale' ELSE 'anergy-costimulation-not-arrived' END
+WHEN kind = 'immunosuppress' THEN 'immunosuppress-expired' WHEN kind = 'poxparty' THEN 'poxparty-outcome-pending' ELSE 'orient-pending-action-required' END AS hint FROM r)
+SELECT o_orderkey, hint, CASE WHEN hint LIKE '%-active' THEN 'active' WHEN hint IN ('anergy-stale', 'immunosuppress-duration-cap-exceeded') THEN 'stale' ELSE 'expired' END AS state FROM h""")
 def deferred_state(spark, d):
-    none = F.lit(None)
-    rows = table(spark, d, "orders").select("o_orderkey", F.lit("anergy").alias("kind"), F.when(F.col("o_orderkey") % 13 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("until"), none.cast("string").alias("since"), none.cast("long").alias("duration_cap"))
-    return U.audit_deferred(rows, F.lit(AS_OF).cast("date")).select("o_orderkey", "state")
+    """All kinds, with dates that are missing, empty, malformed, past and to come, and caps with and without a start."""
+    key, day = F.col("o_orderkey"), lambda c: F.date_format(c, "yyyy-MM-dd")
+    until = F.when(key % 13 == 0, None).when(key % 19 == 0, "").when(key % 17 == 0, "soon").otherwise(day(F.date_add(F.to_date("o_orderdate"), 60)))
+    since = F.when(key % 7 == 0, None).when(key % 11 == 0, "1998/01/01").otherwise(day("o_orderdate"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.expr(_KINDS).alias("kind"), until.alias("until"), since.alias("since"), F.when(key % 5 != 0, key % 2000).alias("duration_cap"))
+    return U.audit_deferred(rows, F.lit(AS_OF).cast("date")).select("o_orderkey", "hint", "state")
 
 
-@query("""SELECT o_orderkey, coalesce(bool_or(l_returnflag = 'R' AND l_linestatus = 'F'), false) AS signed FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+@query("""SELECT o_orderkey, CASE WHEN count(l_orderkey) > 0 THEN coalesce(bool_or(l_returnflag = 'R' AND l_linenumber % 2 = 1 AND l_linestatus = 'F' AND l_quantity > 25), false) END AS signed FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def signers_same_row(spark, d):
-    """Role and currency must hold in one and the same signer row."""
-    signer = F.struct(F.col("l_returnflag").alias("role"), F.col("l_linestatus").alias("against"))
+    """Name, role, currency and strength must hold in one and the same signer row; without a document nothing is decided."""
+    signer = F.struct(F.col("l_returnflag").alias("name"), F.when(F.col("l_linenumber") % 2 == 1, "steward").otherwise("guest").alias("role"), F.col("l_linestatus").alias("against"), F.when(F.col("l_quantity") > 25, "gpg").otherwise("ssh").alias("strength"))
     docs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(signer).alias("signers"))
+    rows = table(spark, d, "orders").join(docs, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("current_digest", F.lit("F"))
+    wanted = {"signers": {"required": ["R"], "roles": {"R": "steward"}, "against": "current", "signature_allow": ["gpg"]}}
+    return rows.select("o_orderkey", Pr.compile_predicate(wanted, F.lit(AS_OF).cast("date")).alias("signed"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS n, min(l_returnflag) AS flag, max(l_quantity) AS q, min(l_linestatus) AS status FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2),
+f AS (SELECT l_orderkey AS o_orderkey, n, CASE WHEN flag = 'A' OR (flag = 'R' AND q > 25) THEN 'no' WHEN q > 45 THEN 'unread' WHEN status = 'F' THEN 'ok' ELSE 'no' END AS s FROM l),
+w AS (SELECT o_orderkey, coalesce(max(s) FILTER (WHERE n = 1), 'unread') AS a, coalesce(max(s) FILTER (WHERE n = 2), 'unread') AS b FROM orders LEFT JOIN f USING (o_orderkey) GROUP BY 1)
+SELECT o_orderkey, CASE CASE WHEN a <> 'ok' THEN a ELSE b END WHEN 'ok' THEN true WHEN 'no' THEN false END AS complete FROM w""")
+def oracles_complete(spark, d):
+    """Two files for each order: an entry blocks as a draft or as revoked and invalidating, else the file's own status decides."""
+    path = F.concat(F.lit("p"), F.col("l_linenumber").cast("string"))
+    state = F.when(F.col("flag") == "A", "draft").when(F.col("flag") == "R", "revoked").otherwise("deprecated")
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").alias("q"), F.min("l_linestatus").alias("status"))
+    entry = F.struct(path.alias("path"), state.alias("state"), (F.col("q") > 25).alias("invalidates"))
+    status = F.struct(path, F.when(F.col("status") == "F", "complete").otherwise("open"))
+    docs = lines.groupBy("l_orderkey").agg(F.collect_list(entry).alias("oracles"), F.map_from_entries(F.collect_list(F.when(F.col("q") <= 45, status))).alias("oracle_files"))
     rows = table(spark, d, "orders").join(docs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select("o_orderkey", F.coalesce(F.exists("signers", lambda s: (s["role"] == "R") & (s["against"] == "F")), F.lit(False)).alias("signed"))
+    return rows.select("o_orderkey", Pr.compile_predicate({"oracles_complete": {"files": ["p1", "p2"]}}, F.lit(AS_OF).cast("date")).alias("complete"))
 
 
-@query("""SELECT conv_id, turn, coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn), false) AS repeated FROM conversations""")
+@query("""WITH t AS (SELECT conv_id, role, text, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(turn % 7) OVER (PARTITION BY conv_id ORDER BY turn) AS day FROM conversations),
+e AS (SELECT conv_id, unnest([CASE WHEN role = 'system' THEN 'author is no steward' END, CASE WHEN day > turn % 7 THEN 'dates go back' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'transition without rationale' END,
+CASE WHEN CASE WHEN turn % 5 = 4 THEN 'retired' ELSE coalesce(before, 'draft') END <> coalesce(before, 'draft') THEN 'wrong from' END]) AS what FROM t)
+SELECT conv_id, coalesce(string_agg(DISTINCT what, ',' ORDER BY what), '') AS errors FROM e GROUP BY 1""")
 def oracle_transitions(spark, d):
+    """A conversation as the life of an oracle, its turns as transitions: who made them, why, when, and from which state."""
     from pyspark.sql import Window
 
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.col("role") == before, F.lit(False)).alias("repeated"))
+    before = F.coalesce(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("draft"))
+    turns = table(spark, d, "conversations").withColumn("from", F.when(F.col("turn") % 5 == 4, "retired").otherwise(before))
+    step = F.struct("turn", "from", F.col("role").alias("to"), F.col("role").alias("by"), F.date_add(F.lit(AS_OF).cast("date"), (F.col("turn") % 7).cast("int")).alias("at"), F.col("text").alias("rationale"))
+    steward = lambda name: F.struct(F.lit(name).alias("name"), F.lit("owner").alias("basis"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("transitions")).withColumn("stewards", F.array(steward("user"), steward("assistant")))
+    return Pr.oracle_errors(rows, "conv_id").select("conv_id", F.array_join("errors", ",").alias("errors"))
 
 
 TREE_SQL = """WITH RECURSIVE up(src, dst, depth) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 0 UNION ALL SELECT src, dst // 2, depth + 1 FROM up WHERE dst > 0)"""
@@ -229,17 +275,23 @@ def inherit_sites(spark, d):
     return out.select(F.col("class").cast("long").alias("class"), F.col("line").alias("site"), F.when(text != "", text).alias("inherited_from"), "explicit")
 
 
-CYCLE = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a")]
+def _ring(spark, d) -> DataFrame:
+    """Each supplier with one successor: chains that run into rings."""
+    key = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(key.alias("src"), ((key * key + 1) % 97).alias("dst"))
+
 
+_RING = "SELECT DISTINCT s_suppkey AS src, (s_suppkey * s_suppkey + 1) % 97 AS dst FROM supplier"
 
-@query("SELECT * FROM (VALUES ('a,b,c'), ('d,e'), ('f')) t(cycle)")
+
+@query(f"""WITH RECURSIVE e AS ({_RING}), w(first, here, cycle, n) AS (SELECT src, dst, CAST(src AS VARCHAR), 1 FROM e UNION ALL SELECT first, e.dst, cycle || ',' || here, n + 1 FROM w JOIN e ON here = e.src WHERE here > first AND n < 97) SELECT cycle FROM w WHERE here = first""")
 def cycle_detect(spark, d):
-    return G.cycles(spark.createDataFrame(CYCLE, "src string, dst string")).select(F.array_join("cycle", ",").alias("cycle"))
+    return G.cycles(_ring(spark, d)).select(F.array_join(F.col("cycle").cast("array<string>"), ",").alias("cycle"))
 
 
-@query(f"""WITH RECURSIVE e(src, dst) AS (VALUES {", ".join(map(str, CYCLE))}), w(src, dst) AS (SELECT * FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON w.dst = e.src) SELECT src, dst FROM w""")
+@query(f"""WITH RECURSIVE e AS ({_RING}), w(src, dst) AS (SELECT * FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON w.dst = e.src) SELECT src, dst FROM w""")
 def closure_cyclic(spark, d):
-    return G.closure(spark.createDataFrame(CYCLE, "src string, dst string")).select("src", "dst")
+    return G.closure(_ring(spark, d)).select("src", "dst")
 
 
 @query("""WITH f AS (SELECT o_orderpriority AS cluster_key, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS sev FROM orders)
@@ -296,7 +348,7 @@ def _commits(spark, d) -> DataFrame:
     return table(spark, d, "conversations").select(name(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("parent"), subject.alias("subject"), (F.col("role") == "system").alias("cosmetic_only"))
 
 
-@query("""SELECT DISTINCT conv_id || '-' || (turn - 1) AS defect, conv_id || '-' || turn AS fix, '' AS path FROM conversations WHERE ((conv_id + turn) % 3 = 0 OR regexp_matches(substr(text, 1, 20), '(?i)(^|[^a-z0-9_])(fix|fixes|fixed|fixing|bug|bugfix|defect|regression|patch|hotfix)([^a-z0-9_]|$)|#[0-9]')) AND role <> 'system' AND turn > 0""")
+@query("""SELECT DISTINCT conv_id || '-' || (turn - 1) AS defect, conv_id || '-' || turn AS fix, '' AS path FROM conversations WHERE ((conv_id + turn) % 3 = 0 OR regexp_matches(text, '(?i)(^|[^a-z0-9_])(fix|fixes|fixed|fixing|bug|bugfix|defect|regression|patch|hotfix)([^a-z0-9_]|$)|#[0-9]')) AND role <> 'system' AND turn > 0""")
 def szz_pairs(spark, d):
     return M.mine_first_parent(_commits(spark, d))
 
@@ -340,7 +392,7 @@ def trailer_parse(spark, d):
     return table(spark, d, "pages").select("page_id", U.trailer_state(trailer, "Reviewed-By").alias("state"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 20 AS src, l_partkey % 20 AS dst FROM lineitem WHERE l_orderkey % 97 = 0), w(start, node) AS (SELECT s, s FROM (VALUES (0), (1), (2)) t(s) UNION SELECT w.start, e.dst FROM w JOIN e ON w.node = e.src) SELECT start, count(*) - 1 AS reach FROM w GROUP BY 1 HAVING count(*) > 1""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 20 AS src, l_partkey % 20 AS dst FROM lineitem), w(start, node) AS (SELECT s, s FROM (VALUES (0), (1), (2)) t(s) UNION SELECT w.start, e.dst FROM w JOIN e ON w.node = e.src) SELECT start, count(*) - 1 AS reach FROM w GROUP BY 1 HAVING count(*) > 1""")
 def blast_radius(spark, d):
     edges = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("src"), (F.col("l_partkey") % 20).alias("dst"), F.lit("calls").alias("kind")).distinct()
     return G.blast_from(edges, spark.range(3).select(F.col("id").alias("node"))).select("start", "reach")
@@ -414,14 +466,16 @@ def total_declarations(spark, d):
     return A.total_declarations(*(table(spark, d, n).select(F.lit(1).alias("x")) for n in ("orders", "customer", "part", "supplier")))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'missing' WHEN l_linenumber = 2 THEN 'external' WHEN l_linenumber = 3 THEN 'phantom' WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status,
-CASE WHEN l_linenumber = 1 THEN 'none' WHEN l_linenumber = 3 THEN 'formal_proof' WHEN l_linenumber = 2 OR n IS NOT NULL THEN 'reachability' ELSE 'none' END AS tier
-FROM lineitem LEFT JOIN (SELECT c_nationkey * 40 AS k, count(*) AS n FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1) ON l_suppkey = k""")
+@query("""WITH f AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 2 ELSE c_custkey % 40 END AS k, count(*) AS n FROM customer GROUP BY 1),
+s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'missing' WHEN l_linenumber IN (2, 5) THEN 'external' WHEN l_linenumber = 3 THEN 'phantom' WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM lineitem LEFT JOIN f ON l_suppkey = k)
+SELECT *, CASE WHEN status IN ('missing', 'not_found') THEN 'none' WHEN status = 'phantom' THEN 'formal_proof' ELSE 'reachability' END AS tier FROM s""")
 def audit_witness(spark, d):
-    li = table(spark, d, "lineitem")
-    witness = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "clippy::lint").when(F.col("l_linenumber") == 3, "Proof::<X>").otherwise(F.concat(F.lit("tests::f"), F.col("l_suppkey").cast("string"), F.lit("()")))
-    functions = table(spark, d, "customer").where("c_custkey % 40 = 0").select(F.concat(F.lit("f"), (F.col("c_nationkey") * 40).cast("string")).alias("name"), F.lit("a").alias("file"), F.lit("fn").alias("kind"))
-    return U.audit_witness(li.select("l_orderkey", "l_linenumber", witness.alias("witness")), functions).select("l_orderkey", "l_linenumber", "status", "tier")
+    """Witnesses as token text has them: blank, two ways to name a tool, a type with arguments, one with nested ones, a tool that is not known, a path."""
+    name, n = F.concat(F.lit("f"), F.col("l_suppkey").cast("string")), F.col("l_linenumber")
+    witness = F.when(n == 1, "  ").when(n == 2, "Clippy :: lint").when(n == 3, "Proof :: < X >::new()").when(n == 4, F.concat(F.lit("P::<Option<X>>::"), name)).when(n == 5, "proofs::kani_proof_of_it").when(n == 6, F.concat(F.lit("cargo::"), name)).otherwise(F.concat(F.lit("tests :: "), name, F.lit("()")))
+    key = F.col("c_custkey")
+    functions = table(spark, d, "customer").select(F.concat(F.lit("f"), F.when(key % 3 == 0, key * 2).otherwise(key % 40).cast("string")).alias("name"), F.lit("a").alias("file"), F.lit("fn").alias("kind"))
+    return U.audit_witness(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", witness.alias("witness")), functions).select("l_orderkey", "l_linenumber", "status", "tier")
 
 
 @query("""WITH e AS (SELECT o_orderkey, count(DISTINCT l_returnflag) AS n, count(l_returnflag) AS m FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
@@ -434,21 +488,23 @@ def audit_convergent(spark, d):
     return U.audit_convergent(rows).select("o_orderkey", F.array_join("hints", ",").alias("hints"))
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'out_of_frame' WHEN o_custkey % 2 = 0 THEN 'fulfilled' WHEN CAST(o_orderdate AS DATE) < DATE '{AS_OF}' THEN 'overdue' ELSE 'pending' END AS verdict FROM orders""")
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'out_of_frame' WHEN s_suppkey IS NOT NULL THEN 'fulfilled' WHEN CAST(o_orderdate AS DATE) < DATE '{AS_OF}' THEN 'overdue' ELSE 'pending' END AS verdict FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey""")
 def audit_prescriptive(spark, d):
     o = table(spark, d, "orders")
     frame = F.when(F.col("o_orderkey") % 17 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    rows = o.select("o_orderkey", F.lit("panel").alias("kind"), F.array(F.when(F.col("o_custkey") % 2 == 0, "m::f").otherwise("gone")).alias("items"), F.lit(None).cast("array<string>").alias("filled_by"), F.lit(None).cast("array<string>").alias("reviewed_by"), F.lit(None).cast("string").alias("ordered_by"), frame.alias("frame"))
-    return U.audit_prescriptive(rows, spark.createDataFrame([(["x::m::f", "g"],)], "labels array<string>"), F.lit(AS_OF).cast("date")).select("o_orderkey", "verdict")
+    item = lambda c: F.concat(F.lit("m"), c.cast("string"), F.lit("::f"))
+    rows = o.select("o_orderkey", F.lit("panel").alias("kind"), F.array(item(F.col("o_custkey"))).alias("items"), F.lit(None).cast("array<string>").alias("filled_by"), F.lit(None).cast("array<string>").alias("reviewed_by"), F.lit(None).cast("string").alias("ordered_by"), frame.alias("frame"))
+    labels = table(spark, d, "supplier").select(F.array(F.concat(F.lit("x::"), item(F.col("s_suppkey"))), F.lit("g")).alias("labels"))
+    return U.audit_prescriptive(rows, labels, F.lit(AS_OF).cast("date")).select("o_orderkey", "verdict")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'absent_in_lock' WHEN p_partkey % 7 = 0 THEN 'no_record' WHEN p_partkey % 11 = 0 THEN 'mismatch' ELSE 'matches' END AS state FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'no_record' WHEN p_partkey % 3 = 0 THEN 'malformed' WHEN p_partkey % 5 = 0 THEN 'absent_in_lock' WHEN p_partkey % 11 = 0 THEN 'mismatch' ELSE 'matches' END AS state FROM part""")
 def content_hash(spark, d):
     part = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("name"), F.lit("1").alias("version"))
     sha = lambda x: F.sha2(x.cast("binary"), 256)
     lock = part.where("p_partkey % 5 <> 0").select("name", "version", sha(F.col("name")).alias("checksum"))
-    records = part.where("p_partkey % 7 <> 0").select("name", "version", sha(F.when(F.col("p_partkey") % 11 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name"))).alias("checksum"))
-    return U.content_hash(part, lock, records).select("p_partkey", "state")
+    recorded = F.when(F.col("p_partkey") % 3 == 0, None).when(F.col("p_partkey") % 11 == 0, sha(F.concat("name", F.lit("x")))).otherwise(sha(F.col("name")))
+    return U.content_hash(part, lock, part.where("p_partkey % 7 <> 0").select("name", "version", recorded.alias("checksum"))).select("p_partkey", "state")
 
 
 @query("""WITH r AS (SELECT l_partkey AS k, bool_or(l_suppkey % 10 = 0) AS exact FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) SELECT p_partkey, CASE WHEN k IS NULL THEN 'missing' WHEN exact THEN 'ok' ELSE 'stale' END AS state FROM part LEFT JOIN r ON p_partkey = k""")
@@ -499,12 +555,22 @@ def recurrence_ancestors(spark, d):
     return rows.agg(F.array_join(A.union_distinct(F.array(F.col("dst").cast("string"))), ",").alias("ancestors"))
 
 
-@query("""SELECT doc_id, '{"reason":"compiler-message","message":{"level":"' || CASE WHEN quality = 0 THEN 'error' ELSE 'warning' END || '","message":"C at f:' || doc_id || '","spans":[{"file_name":"f","line_start":' || doc_id || ',"line_end":' || doc_id || ',"is_primary":true}]}}' AS value FROM labels""")
+_FLYCHECK = """WITH t AS (SELECT doc_id, 'C' || quality AS c, 'factlens: structure matches the `C' || quality || '` failure-class fingerprint (provenance: '
+|| CASE doc_id % 4 WHEN 0 THEN 'encountered (seen in real code)' WHEN 1 THEN 'constructable (a verified minimal case exists)' WHEN 2 THEN 'heuristic (correlational)' ELSE 'imagined (reasoned, no demo yet)' END
+|| '). This is a fingerprint match to inspect, not an audited verdict.' AS m FROM labels WHERE toxic = 0)
+SELECT doc_id, '{"reason":"compiler-message","message":{"message":"' || m || '","level":"warning","code":{"code":"factlens::' || c || '","explanation":null},"spans":[{"file_name":"f","line_start":' || doc_id || ',"line_end":' || doc_id
+|| ',"column_start":1,"column_end":1,"is_primary":true}],"children":[{"message":"fingerprint match only — factlens has not audited a defense for this site. Mark it with #[presents(' || c || ')] + #[defended_by(...)] to record the defense, or #[factlens_tolerance('
+|| c || ', rationale=...)] to accept it.","level":"note","code":null,"spans":[],"children":[],"rendered":null}],"rendered":"warning: ' || m || '"}}' AS value FROM t"""
+
+
+@query(_FLYCHECK)
 def flycheck_jsonl(spark, d):
+    """Matches of two classes and all provenances; findings of another kind give no line."""
     from .sources import files
 
-    body = F.struct(F.lit("fingerprint_match").alias("kind"), F.lit("C").alias("class"))
-    findings = table(spark, d, "labels").select(F.when(F.col("quality") == 0, "high").otherwise("low").alias("severity"), F.lit("f").alias("file"), F.col("doc_id").alias("line"), body.alias("body"))
+    body = F.struct(F.when(F.col("toxic") == 0, "fingerprint_match").otherwise("marked_unknown").alias("kind"), F.concat(F.lit("C"), F.col("quality").cast("string")).alias("class"))
+    provenance = F.element_at(F.array(*(F.lit(x) for x in files.PROVENANCE_LABELS)), (F.col("doc_id") % 4).cast("int") + 1)
+    findings = table(spark, d, "labels").select(F.when(F.col("quality") == 0, "high").otherwise("low").alias("severity"), F.lit("f").alias("file"), F.col("doc_id").alias("line"), provenance.alias("class_provenance"), body.alias("body"))
     return files.flycheck_lines(findings).select(F.get_json_object("value", "$.message.spans[0].line_start").cast("long").alias("doc_id"), "value")
 
 
