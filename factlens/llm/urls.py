@@ -27,9 +27,9 @@ from .components import saved
 
 #: Rules (fixed values): verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Rows that the classifier is fitted on, at most, and the words it knows, the most frequent ones.
-SAMPLE, VOCABULARY = 20_000, 65_536
-LONGEST = 20
+#: Rows that the classifier is fitted on, at most, and letters of the longest word looked for: a label of a host has no more.
+SAMPLE = 20_000
+LONGEST = 63
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,7 +61,7 @@ def ruled(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def lexicon(pages: DataFrame) -> DataFrame:
     """word, logp: unigram log-probabilities of the words in all pages' html, counted with map-side combining."""
     words = pages.select(F.explode(F.split(lowered(F.coalesce(F.col("html").cast("string"), F.lit(""))), "[^a-z]+")).alias("word"))
-    counts = words.where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+    counts = saved(words.where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 1
     return counts.select("word", F.log(F.col("n") / F.lit(float(total))).alias("logp")), total
 
@@ -116,7 +116,7 @@ class Bayes:
         seen = Counter(kind for _, kind in rows)
         for words, kind in rows:
             counts[kind].update(words)
-        vocabulary = [w for w, _ in sorted((counts["allow"] + counts["block"]).items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
+        vocabulary = [w for w, _ in sorted((counts["allow"] + counts["block"]).items(), key=lambda x: (-x[1], x[0]))]
         size = {k: sum(c[w] for w in vocabulary) + len(vocabulary) for k, c in counts.items()}
         self.prior = math.log((seen["block"] + 1) / (seen["allow"] + 1)) if rows else -1.0
         self.odds = {w: math.log((counts["block"][w] + 1) / size["block"]) - math.log((counts["allow"][w] + 1) / size["allow"]) for w in vocabulary}
