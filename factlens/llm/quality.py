@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .components import saved
 
 #: Symbols that count (fixed values).
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -155,7 +156,7 @@ def judge(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     The driver gets vote patterns with counts only: at most 3 ** 10 rows at any input size.
     """
     votes = rules()
-    counted = features(docs)
+    counted = saved(features(docs))  # read twice, and far smaller than the texts
     voted = counted.withColumn("votes", F.concat(*(F.lpad((v + 1).cast("string"), 1, "0") for v in votes.values())))
     seen = sorted((tuple(int(x) - 1 for x in r["votes"]), r["count"]) for r in voted.groupBy("votes").count().collect())
     share, odds = fit(seen)
