@@ -132,6 +132,62 @@ def test_decontamination_finds_a_quote_of_a_long_item(spark):
     assert sorted(x["doc_id"] for x in decontam.decontaminate(docs, bench).collect()) == [3, 4]
 
 
+def test_decontamination_does_not_depend_on_neighbours(spark):
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(n))
+    items = [(k, prose(70)[:300]) for k in range(6)]
+    # a document that ends with the first part of an item, and one that begins with the rest
+    texts = [t for k, x in items for t in (prose(20) + x[:75], x[75:] + prose(20), prose(10) + x[:150] + "zz" + x[150:])] + [prose(60) for _ in range(10)] + [items[0][1], items[0][1], None, ""]
+    rows = list(enumerate(texts))
+
+    def plain(text):
+        return re.sub("[\x00-/:-@\\[-`{-\x7f]+", " ", (text or "").lower())
+
+    def found(text, item):  # a segment within its edit budget at some place
+        return any(plain_edits(item[s:e], text) <= decontam.edits(e - s) for s, e in decontam._segments(len(item))) if text else False
+
+    want = {(d, k) for d, t in rows for k, x in items if found(plain(t), plain(x).strip())}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for parts in (1, 2, 5):
+        r.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert {(x["doc_id"], x["item_id"]) for x in decontam.matches(docs, bench).collect()} == want
+
+
+def test_quality_against_plain_expectation_maximisation(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(12)
+    good = lambda: "\n".join(" ".join(r.choice(["some", "useful", "words", "about", "many", "things", f"w{r.randrange(400)}"]) for _ in range(12)) + "." for _ in range(r.randint(5, 9)))
+    bad = lambda: "\n".join(["## $$ %% 12 34"] * r.randint(8, 20)) if r.random() < 0.6 else " ".join(["BUY", "NOW"] * r.randint(20, 60))
+    docs = spark.createDataFrame([*((k, good() if k % 3 else bad()) for k in range(150)), (200, None), (201, "")], "doc_id long, text string")
+    names = list(quality.rules())
+    votes = {x["doc_id"]: tuple(x[n] for n in names) for x in quality.features(docs).select("doc_id", *(v.alias(n) for n, v in quality.rules().items())).collect()}
+    start = {c: quality.START[c] for c in ("bad", "good")}
+    share, table = 0.9, {c: [list(start[c]) for _ in names] for c in start}
+    counts = Counter(votes.values())
+
+    def odds(j, v):
+        x = math.log(table["good"][j][v + 1] / table["bad"][j][v + 1])
+        return min(x, 0) if v < 0 else max(x, 0) if v > 0 else 0.0
+
+    def posterior(p):
+        return 1 / (1 + math.exp(-max(-50, min(50, math.log(share / (1 - share)) + sum(odds(j, v) for j, v in enumerate(p))))))
+
+    for _ in range(100):
+        post = {p: posterior(p) for p in counts}
+        share = min(0.99, max(0.05, (sum(n * post[p] for p, n in counts.items()) + 9) / (sum(counts.values()) + 10)))
+        for c in start:
+            weight = {p: n * (post[p] if c == "good" else 1 - post[p]) for p, n in counts.items()}
+            total = sum(weight.values())
+            for j in range(len(names)):
+                table[c][j] = [(sum(w for p, w in weight.items() if p[j] == v - 1) + (quality.PRIOR * total + 1) * start[c][v]) / ((1 + quality.PRIOR) * total + 1) for v in range(3)]
+    for x in quality.judge(docs).collect():
+        want = posterior(votes[x["doc_id"]])
+        assert abs(x["quality"] - want) < 1e-6 and x["kept"] == (not x["base_failed"] and want >= 0.5)
+
+
 def test_licenses_against_plain_containment(spark):
     words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
     filler = " ".join(f"filler{k}" for k in range(300))
@@ -185,6 +241,37 @@ def test_url_rules(spark):
         assert rows[i]["verdict"] == verdict if verdict else rows[i]["verdict"] in ("allow", "block")
 
 
+def test_url_verdicts_against_a_plain_model(spark):
+    import functools
+    import math
+    from collections import Counter
+
+    r = random.Random(13)
+    words = ["spam", "farm", "news", "shop", "blue", "garden"]
+    rows = [(k, f"http://{r.choice(words)}{r.choice(words)}.{r.choice(['com', 'net', 'org', 'example.com'])}/{r.choice(['en', 'es', 'fr', 'de'])}/{r.choice(words)}-{r.randrange(99)}", " ".join(r.choice(words) for _ in range(20))) for k in range(120)]
+    lexicon = Counter(w for _, _, h in rows for w in re.split("[^a-z]+", h) if len(w) > 1)
+    total = sum(lexicon.values())
+    price = lambda w: math.log(lexicon[w] / total) if w in lexicon else -math.log(total) - len(w) * math.log(10)
+
+    @functools.cache
+    def best(name):
+        return max(((price(name[:k]) + best(name[k:])[0], [name[:k], *best(name[k:])[1]]) for k in range(1, len(name) + 1)), key=lambda x: x[0]) if name else (0.0, [])
+
+    def tokens(host, path):
+        return [f"h:{w}" for n in re.findall("[a-z]+", host) for w in best(n)[1]] + [f"p:{w if not w.isdigit() else '0' * len(w)}" for w in re.findall("[a-z]+|[0-9]+", path.lower())]
+
+    seen = [(tokens(*plain_url(u)), plain_rule(*plain_url(u))[1]) for _, u, _ in rows]
+    count = {c: Counter(t for ts, v in seen if v == c for t in ts) for c in ("allow", "block")}
+    known = set(count["allow"]) | set(count["block"])
+    size = {c: sum(count[c].values()) + len(known) for c in count}
+    n = Counter(v for _, v in seen)
+    log_odds = lambda ts: math.log((n["block"] + 1) / (n["allow"] + 1)) + sum(math.log((count["block"][t] + 1) / size["block"]) - math.log((count["allow"][t] + 1) / size["allow"]) for t in ts if t in known)
+    got = {x["page_id"]: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert n["allow"] and n["block"] and n[None]
+    for (k, _, _), (ts, rule) in zip(rows, seen, strict=True):
+        assert abs(got[k]["score"] - log_odds(ts)) < 1e-6 and got[k]["verdict"] == (rule or ("block" if log_odds(ts) > 0 else "allow"))
+
+
 def test_segmentation_is_the_best_split():
     import math
 

@@ -72,6 +72,24 @@ def test_jaccard_join_is_exact(spark, monkeypatch, seed, slots):
     assert got == {d: (len(sets[d]), want[d]) for d in sets}
 
 
+def test_sets_are_the_same_wherever_they_stand():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t for _, t in corpus(5)]
+    whole = jaccard.set_hash(*jaccard.sets_of(pa.array(texts, pa.string())))
+    alone = [jaccard.set_hash(*jaccard.sets_of(pa.array([t], pa.string())))[0] for t in texts]
+    assert np.array_equal(whole, np.array(alone))
+
+
+def test_one_row_of_a_document_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, text, "b"), (3, "other words stand here now", "c"), (4, None, "d"), (4, None, "d")], "doc_id long, text string, _ string")
+    assert sorted(r["doc_id"] for r in jaccard.deduplicate(docs).collect()) == [1, 3, 4]
+    twice = spark.createDataFrame([(7, "one line here\nanother line there"), (7, "one line here\nanother line there")], "doc_id long, text string")
+    assert [tuple(r) for r in linededup.report(twice).collect()] == [(7, 2, 0, [])]
+
+
 def test_joins_of_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(none).count() == 0 and linededup.report(none).count() == 0
