@@ -14,13 +14,14 @@ RELATIONS = {
     "defenses": f"class string, {SITE}",
     "tolerances": f"class string, rationale string, until string, see array<string>, requires string, structural_digest string, {SITE}",
     "lineage": "child string, parent string, child_path string, parent_path string, file string, line bigint",
-    "deferred": f"kind string, class string, text string, until string, since string, duration_cap bigint, signed_by string, see array<string>, {SITE}",
+    "deferred": f"kind string, class string, text string, until string, since string, duration_cap bigint, signed_by string, see array<string>, learning_path string, learn_until string, {SITE}",
     "evidence": f"kind string, class string, modalities array<string>, min_independent bigint, iterations bigint, seed_kind string, historical_span bigint, min_reattestations bigint, witnesses array<string>, fingerprints array<string>, {SITE}",
-    "recurrent": f"kind string, name string, class string, instances bigint, since string, from_itches array<string>, anchored_by array<string>, managed_by string, contributing_to string, {SITE}",
+    "recurrent": f"kind string, name string, class string, instances bigint, since string, from_itches array<string>, anchored_by array<string>, managed_by string, contributing_to string, text string, rationale string, {SITE}",
     "boundaries": f"tag string, boundary_kind string, rationale string, handled_by string, accepts string, reviewed_by string, until string, {SITE}",
-    "work_orders": f"kind string, items array<string>, filled_by array<string>, reviewed_by array<string>, ordered_by string, frame string, structural_digest string, {SITE}",
+    "work_orders": f"kind string, items array<string>, filled_by array<string>, reviewed_by array<string>, ordered_by string, frame string, need_text string, label string, structural_digest string, {SITE}",
     "generators": "class string, rationale string, macro_name string, file string, line bigint, canonical_path string",
     "marks": "marker string, magnitude string, certainty string, trigger string, structural_digest string, shape_digest string, file string, line bigint",
+    "triage_commits": f"decision string, rollback_target string, triaged_by string, rationale string, due_minutes bigint, {SITE}",
     "parse_failures": "file string, error string",
     "coverage": "enumerated array<string>, scanned array<string>",
     "findings": "schema_version int, file string, line bigint, structural_digest string, shape_digest string, cluster_key string, severity string, source string, class_provenance string, presentation string, ts bigint, origin_stage string, body struct<kind:string,class:string,tier:string,magnitude:string,certainty:string,trigger:string>",

@@ -1,11 +1,12 @@
-"""An outline parser for Rust source: top-level items with the features that patterns ask for, and their annotations.
+"""An outline parser for Rust source: top-level items with the features that patterns ask for, and annotations of items at any depth.
 
 It reads tokens, not full syntax; digests are over this module's own canonical token text.
-A file whose brackets do not match is a parse failure.
+A file whose brackets do not match is a parse failure. Items inside of function bodies are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.pattern import canonical_signature
-from ..schema import RELATIONS
+from ..schema import RELATIONS, TARGET
 
 _TOKEN = re.compile(
     r"(?P<doc>///(?!/)[^\n]*|//![^\n]*)|(?P<skip>//[^\n]*|/\*.*?\*/|\s+)|(?P<text>b?r(?P<h>#*)\".*?\"(?P=h)|b?\"(?:[^\"\\]|\\.)*\"|b?'(?:[^'\\\n]|\\.[^'\n]*)')|(?P<life>'[A-Za-z_]\w*)|(?P<word>(?:r#)?[A-Za-z_]\w*)|(?P<number>[0-9][\w.]*)|(?P<mark>->|=>|::|\.\.=|[^\w\s])",
@@ -91,26 +92,37 @@ def _attribute(toks: list[Token]) -> tuple[str, list[Token]]:
     return "".join(v for _, v, _ in toks[:n]), toks[n + 1 : -1] if n < len(toks) and toks[n][1] in _OPEN else toks[n:]
 
 
-def arguments(toks: list[Token]) -> dict[str, object]:
-    """name = value pairs of an annotation; what stands alone is under "" as a list of paths."""
-    out: dict[str, object] = {"": []}
-    part: list[Token] = []
+def _split(toks: list[Token]) -> list[list[Token]]:
+    """Parts between the commas that stand in no bracket."""
+    parts: list[list[Token]] = [[]]
     depth = 0
-    for t in [*toks, ("mark", ",", 0)]:
+    for t in toks:
         depth += (t[1] in _OPEN and t[0] == "mark") - (t[1] in _CLOSE and t[0] == "mark")
         if t[1] == "," and depth == 0:
-            if len(part) >= 3 and part[1][1] == "=":
-                value = part[2:]
-                if value[0][1] == "[":
-                    out[part[0][1]] = [v.strip('"') if k == "text" else v for k, v, _ in value if k in ("text", "word")]
-                else:
-                    out[part[0][1]] = _literal(value[0][1]) if len(value) == 1 and value[0][0] == "text" else _text(value)
-            elif part:
-                out[""].append("".join(v for _, v, _ in part))
-            part = []
+            parts.append([])
         else:
-            part.append(t)
-    return out
+            parts[-1].append(t)
+    return [p for p in parts if p]
+
+
+def _value(toks: list[Token]) -> str:
+    return _literal(toks[0][1]) if len(toks) == 1 and toks[0][0] == "text" else _text(toks)
+
+
+def arguments(toks: list[Token]) -> dict[str, str]:
+    """name = value pairs of an annotation; a list is a JSON array, and so is what stands alone, under ""."""
+    out: dict[str, str] = {}
+    alone = []
+    for part in _split(toks):
+        if len(part) >= 3 and part[1][1] == "=":
+            value = part[2:]
+            if value[0][1] == "[":
+                out[part[0][1]] = json.dumps([_value(v) if v[0][0] == "text" else "".join(t for _, t, _ in v) for v in _split(value[1:-1])])
+            else:
+                out[part[0][1]] = _value(value)
+        else:
+            alone.append("".join(v for _, v, _ in part))
+    return {"": json.dumps(alone)} | out
 
 
 def _literal(token: str) -> str:
@@ -118,12 +130,30 @@ def _literal(token: str) -> str:
     return m[2] if m else re.sub(r"\\(.)", r"\1", token[1:-1])
 
 
-def items(file: str, text: str) -> tuple[list[dict], list[dict]]:
-    """Item rows, and annotation rows (name, args as text pairs, the item they stand on)."""
-    toks, at, found, notes = tokens(text), 0, [], []
+def items(file: str, text: str) -> tuple[list[dict], list[dict], list[dict]]:
+    """Rows of top-level items, of the annotations of items at any depth (name, args, the item they stand on), and of functions.
+
+    Functions are free ones, methods of impls, and those in the bodies of property-test macros; kind tells tests apart.
+    """
+    toks = tokens(text)
     close_all(toks)
-    attrs: list[tuple[str, list[Token]]] = []
-    docs: list[str] = []
+    found: list[dict] = []
+    notes: list[dict] = []
+    functions: list[dict] = []
+    for item, attrs, part in _walk(file, toks):
+        if item["kind"] != "macro":
+            found.append(item)
+        _notes(item, attrs, part, None, notes, functions)
+    for i in range(len(toks) - 2):
+        if (toks[i][1], toks[i + 1][1]) == ("proptest", "!") and toks[i + 2][1] in _OPEN:
+            body = toks[i + 2 : close(toks, i + 2)]
+            functions += [{"name": b[1], "file": file, "kind": "proptest"} for a, b in zip(body, body[1:], strict=False) if a[:2] == ("word", "fn") and b[0] == "word"]
+    return found, notes, functions
+
+
+def _walk(file: str, toks: list[Token]) -> Iterator[tuple[dict, list, list[Token]]]:
+    """Each item of a file or block with its attributes (path, arguments, line) and tokens."""
+    at, attrs, docs = 0, [], []
     while at < len(toks):
         kind, value, line = toks[at]
         if kind == "doc":
@@ -133,21 +163,37 @@ def items(file: str, text: str) -> tuple[list[dict], list[dict]]:
             open_ = at + 1 + (toks[at + 1][1] == "!")
             end = close(toks, open_)
             if toks[at + 1][1] != "!":
-                attrs.append(_attribute(toks[open_ + 1 : end - 1]))
+                attrs.append((*_attribute(toks[open_ + 1 : end - 1]), line))
             at = end
         else:
             end = at
             while end < len(toks) and not (toks[end][0] == "mark" and toks[end][1] in (";", "{")):
                 end = close(toks, end) if toks[end][1] in ("(", "[") and toks[end][0] == "mark" else end + 1
             end = close(toks, end) if end < len(toks) and toks[end][1] == "{" else min(end + 1, len(toks))
-            item = _item(file, toks[at:end], attrs, docs, line)
+            item = _item(file, toks[at:end], [a[:2] for a in attrs], docs, line)
+            if item is None and [v for _, v, _ in toks[at : at + 2]] == ["macro_rules", "!"] and end > at + 2:
+                item = {"file": file, "line": line, "kind": "macro", "name": toks[at + 2][1], "impl_trait": None, "tokens": _text(toks[at:end])}
             if item:
-                found.append(item)
-                for path, args in attrs:
-                    a = arguments(args)
-                    notes.append({"name": path.split("::")[-1], "args": {k: ",".join(v) if isinstance(v, list) else str(v) for k, v in a.items()}, "file": file, "line": line, "item_kind": item["kind"], "item_name": item["name"]})
+                yield item, attrs, toks[at:end]
             attrs, docs, at = [], [], end
-    return found, notes
+
+
+def _notes(item: dict, attrs: list, toks: list[Token], outer: dict | None, out: list[dict], functions: list[dict]) -> None:
+    """Annotations and functions of an item, then those of what its block holds."""
+    kind, name, trait = item["kind"], item["name"], item["impl_trait"]
+    target = {"kind": kind, "a": name, "b": trait if kind == "impl" else None, "c": None}
+    if outer and kind in ("fn", "const", "type"):
+        target = {"kind": f"{outer['kind']}_{kind}", "a": outer["name"], "b": name, "c": outer["impl_trait"]}
+    if kind == "fn" and (outer is None or outer["kind"] == "impl"):
+        marks = {path for path, _, _ in attrs}
+        functions.append({"name": name, "file": item["file"], "kind": "function" if "test" not in marks else "ignored_test" if "ignore" in marks else "test"})
+    derive = next((v for path, args, _ in attrs if path.split("::")[-1] == "proc_macro_derive" for k, v, _ in args if k == "word"), None)
+    for path, args, line in attrs:
+        out.append({"name": path.split("::")[-1], "args": arguments(args), "file": item["file"], "line": line, "item_kind": target["kind"], "item_name": name, "target": target, "macro_name": derive or name, "item_tokens": item["tokens"]})
+    if kind in ("mod", "impl", "trait"):
+        block = next((i for i, t in enumerate(toks) if t[1] == "{" and t[0] == "mark"), None)
+        for inner, own, part in _walk(item["file"], toks[block + 1 : -1]) if block is not None else ():
+            _notes(inner, own, part, None if kind == "mod" else item, out, functions)
 
 
 def close_all(toks: list[Token]) -> None:
@@ -221,90 +267,54 @@ def _strip_generics(words: list[str]) -> list[str]:
 
 
 _ROW = RELATIONS["items"].replace(", structural_digest string, shape_digest string", "")
-_NOTE = "name string, args map<string,string>, file string, line bigint, item_kind string, item_name string"
+_NOTE = f"name string, args map<string,string>, file string, line bigint, item_kind string, item_name string, target {TARGET}, macro_name string, item_tokens string"
 
 
-def _run(texts: DataFrame) -> DataFrame:
-    schema = f"item struct<{_ROW.replace(' ', ':').replace(',:', ',')},tokens:string>, note struct<{_NOTE.replace(' ', ':').replace(',:', ',')}>, file string, error string"
+def outline(texts: DataFrame) -> DataFrame:
+    """One row for each item, annotation, function or failure of source texts (file, text), the other columns null.
+
+    Files are parsed once: write this table before several relations are taken from it.
+    """
+    nested = lambda ddl: ddl.replace(" ", ":").replace(",:", ",")
+    schema = f"item struct<{nested(_ROW)},tokens:string>, note struct<{nested(_NOTE)}>, function struct<{nested(RELATIONS['functions'])}>, file string, error string"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for file, text in zip(part["file"], part["text"], strict=True):
                 try:
-                    found, notes = items(file, text or "")
-                    rows += [(i, None, file, None) for i in found] + [(None, n, file, None) for n in notes]
+                    found, notes, functions = items(file, text or "")
+                    rows = [(i, None, None, file, None) for i in found] + [(None, n, None, file, None) for n in notes] + [(None, None, f, file, None) for f in functions]
                 except ValueError as e:
-                    rows.append((None, None, file, str(e)))
-            yield pd.DataFrame(rows, columns=["item", "note", "file", "error"])
+                    rows = [(None, None, None, file, str(e))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["item", "note", "function", "file", "error"])
 
     return texts.select("file", "text").mapInPandas(run, schema)
 
 
 def parse_items(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """items, annotations and parse_failures of source texts (file, text)."""
-    rows = _run(texts)
+    rows = outline(texts)
+    return outlined_items(rows), outlined_notes(rows), failures(rows)
+
+
+def outlined_items(rows: DataFrame) -> DataFrame:
     found = rows.where("item is not null").select("item.*")
-    found = found.withColumn("structural_digest", S.digest(F.col("tokens"))).withColumn("shape_digest", S.shape_digest(F.col("kind"), F.col("name"), F.col("tokens"))).drop("tokens")
-    return found, rows.where("note is not null").select("note.*"), rows.where("error is not null").select("file", "error")
-
-
-def function_index(found: DataFrame) -> DataFrame:
-    """name, file, kind of free functions and methods."""
-    free = found.where("kind = 'fn'").select("name", "file", F.lit("fn").alias("kind"))
-    return free.unionByName(found.select(F.explode("methods").alias("m"), "file").select("m.name", "file", F.lit("method").alias("kind")))
-
-
-#: Annotation names by relation, and the columns filled from their arguments.
-NOTES = {
-    "sites": (["presents"], {"class": "", "requires": "requires", "proof": "proof"}),
-    "immunities": (["immune"], {"class": "", "witness": "witness", "requires": "requires"}),
-    "defenses": (["defended_by"], {"class": ""}),
-    "tolerances": (["tolerance"], {"class": "", "rationale": "rationale", "until": "until", "see": "see"}),
-    "lineage": (["descended_from"], {"parent": ""}),
-    "deferred": (["anergy", "immunosuppress", "poxparty", "orient"], {"class": "", "text": "reason", "until": "until", "since": "since"}),
-    "evidence": (["diagnostic", "clonal", "igg", "crossreactive", "polyclonal", "monoclonal", "adcc"], {"class": "", "modalities": "modalities", "witnesses": "witnesses", "fingerprints": "fingerprints"}),
-    "recurrent": (["itch", "recurrence_anchor", "crystallize", "chronic", "saturate", "strand"], {"class": "", "since": "since", "from_itches": "from_itches", "anchored_by": "anchored_by", "managed_by": "managed_by"}),
-    "boundaries": (["mucosal", "mucosal_delegate", "mucosal_tolerant"], {"boundary_kind": "kind", "rationale": "rationale", "handled_by": "handled_by", "accepts": "accepts", "reviewed_by": "reviewed_by", "until": "until"}),
-    "work_orders": (["panel", "rx", "refer", "biopsy", "ddx", "culture", "quarantine", "triage"], {"items": "needs", "filled_by": "to", "reviewed_by": "reviewer", "ordered_by": "ordered_by", "frame": "due"}),
-    "generators": (["generates"], {"class": "", "rationale": "rationale"}),
-    "marks": (["aura", "dread", "red_flag"], {"trigger": "trigger"}),
-}
-LISTS = {"see", "modalities", "witnesses", "fingerprints", "from_itches", "anchored_by", "items", "filled_by", "reviewed_by_list"}
-
-
-def extract_notes(notes: DataFrame, relation: str) -> DataFrame:
-    """Annotations of one relation; class references keep their last segment, absent arguments are null, lists are split."""
-    names, columns = NOTES[relation]
-    rows = notes.where(F.col("name").isin(names))
-    out = []
-    for column, arg in columns.items():
-        value = F.col("args")[arg]
-        value = F.when(value != "", value)
-        if column in ("class", "parent"):
-            value = F.substring_index(F.substring_index(value, ",", 1), "::", -1)
-        out.append((F.split(value, ",") if column in LISTS else value).alias(column))
-    return rows.select(F.col("name").alias("kind"), *out, "file", "line", "item_kind", "item_name")
-
-
-# ---- checks on declarations: each gives violations (what, file, line)
-
-
-def violations(rows: DataFrame, relation: str, as_of=None) -> DataFrame:
-    """Rows of a relation that break the rules for declarations, with the rule in `what`."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    short = lambda c, n: F.length(F.coalesce(F.trim(c), F.lit(""))) < n
-    until = S.iso_date(F.col("until")) if "until" in rows.columns else None
-    rules = {
-        "classes": lambda: [(~F.coalesce(F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), F.lit(False)), "name is not kebab-case"), (F.col("pattern").isNotNull() & blank("pattern"), "pattern is empty"), (F.size("category") != F.size(F.array_distinct("category")), "category repeated")],
-        "tolerances": lambda: [(blank("rationale"), "rationale missing")],
-        "generators": lambda: [(blank("rationale"), "rationale missing")],
-        "marks": lambda: [(blank("trigger"), "trigger missing")],
-        "deferred": lambda: [(F.col("kind").isin("anergy", "immunosuppress", "poxparty", "orient") & short("text", 20), "text too short"), (F.col("until").isNull(), "until missing"), ((F.col("kind") == "orient") & ~F.coalesce(F.datediff(until, as_of).between(0, 180), F.lit(False)), "until out of range")],
-        "evidence": lambda: [((F.col("kind") == "diagnostic") & (F.coalesce(F.size("modalities"), F.lit(0)) < 1), "no modality"), ((F.col("kind") == "diagnostic") & (F.col("min_independent") > F.size(F.array_distinct("modalities"))), "min_independent above distinct modalities"), ((F.col("kind") == "clonal") & ~F.coalesce(F.col("iterations") > 0, F.lit(False)), "iterations missing")],
-        "boundaries": lambda: [(S.enum_value(F.col("boundary_kind"), S.BOUNDARY_KINDS).isNull(), "unknown boundary kind"), (short("rationale", 20), "rationale too short")],
-        "work_orders": lambda: [((F.col("kind").isin("panel", "ddx", "triage")) & (F.coalesce(F.size("items"), F.lit(0)) < 1), "no items")],
-    }
-    tests = rules[relation]()
-    what = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in tests)))
-    return rows.withColumn("what", F.explode(what))
+    return found.withColumn("structural_digest", S.digest(F.col("tokens"))).withColumn("shape_digest", S.shape_digest(F.col("kind"), F.col("name"), F.col("tokens"))).drop("tokens")
+
+
+def outlined_notes(rows: DataFrame) -> DataFrame:
+    """Annotations with the digests of the items they stand on."""
+    notes = rows.where("note is not null").select("note.*")
+    text = F.col("item_tokens")
+    kind = F.regexp_replace("item_kind", "^(impl|trait)_", "")
+    return notes.withColumn("structural_digest", S.digest(text)).withColumn("shape_digest", S.shape_digest(kind, F.col("item_name"), text)).drop("item_tokens")
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    return rows.where("error is not null").select("file", "error")
+
+
+def function_index(rows: DataFrame) -> DataFrame:
+    """name, file, kind of the functions of an outline."""
+    return rows.where("function is not null").select("function.*")

@@ -15,6 +15,7 @@ from factlens.operators import learn as L
 from factlens.operators import mining as M
 from factlens.plans import pattern as P
 from factlens.schema import RELATIONS, conform, empty
+from factlens.sources import annotations as notes
 from factlens.sources import files, rust
 from factlens.streaming import life
 
@@ -131,7 +132,7 @@ def test_record_before_lock(spark):
 
 def test_boundary_kinds(spark):
     rows = spark.createDataFrame([("api-request",), ("ApiRequest",), ("iframe",), ("network",)], "boundary_kind string").withColumn("rationale", F.lit("x" * 20))
-    assert [r["boundary_kind"] for r in rust.violations(rows, "boundaries").collect()] == ["network"]
+    assert [r["boundary_kind"] for r in notes.violations(rows, "boundaries").collect()] == ["network"]
 
 
 def test_long_chains_close(spark):
@@ -181,11 +182,11 @@ def test_learning(spark):
 
 def test_outline_parser(spark):
     text = '#[presents(foo::Bar, proof = "x")]\npub const unsafe fn f<T>(a: &\'static str) -> u8 { transmute::<u8, u8>(1) }\nenum E { A, B(u8, u8), C { x: u8 }, }\n/* fn no() { */\nstruct S;'
-    found, notes, failed = rust.parse_items(spark.createDataFrame([("a", text), ("b", "fn x() {"), ("c", None)], "file string, text string"))
+    found, marked, failed = rust.parse_items(spark.createDataFrame([("a", text), ("b", "fn x() {"), ("c", None)], "file string, text string"))
     rows = {r["name"]: r for r in found.collect()}
     assert set(rows) == {"f", "E", "S"} and rows["E"]["variant_count"] == 3 and rows["f"]["body_calls"] == ["transmute"] and rows["f"]["is_const"] and rows["S"]["body_calls"] is None
     assert [r["file"] for r in failed.collect()] == ["b"]
-    assert [(r["class"], r["proof"]) for r in rust.extract_notes(notes, "sites").collect()] == [("Bar", "x")]
+    assert [(r["class"], r["proof"]) for r in notes.extract_notes(marked, "sites").collect()] == [("Bar", "x")]
 
 
 def test_tree_and_sinks(spark, tmp_path):
