@@ -5,7 +5,7 @@ the positions: their lengths are summed along the text, so nothing is searched t
 
 Edge cases: a null text is the empty text and has no spans; positions count code points
 of the whole text; a span found by two kinds is reported for both; repeated rows are
-repeated; further columns of the input are not read.
+repeated; further columns of the input are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -51,7 +51,9 @@ CONTEXT = {
     "ssn": r"(?i)\b(?:ssn|social security)\b",
 }
 RAISE, NEAR, LEAST = 0.4, 40, 0.5
-_SPAN = "struct<start:int,end:int,value:string>"
+#: Matches walked before their spans are put aside; only the cost depends on it.
+BLOCK = 256
+_SPAN = "struct<start:int,end:int,value:string,before:string>"
 
 
 def _digits(c: Column) -> Column:
@@ -96,20 +98,35 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, ahead: int = 0) -> Column:
-    """All matches of a pattern from the left as array<struct<start, end, value>>, in code points.
+    """All matches of a pattern from the left as array<struct<start, end, value, before>>, in code points; before: the NEAR characters in front.
 
-    With `ahead`, a match consumes that many characters and its value is group 1.
+    With `ahead`, a match consumes that many characters and its value is group 1. Matches are walked in blocks, and what
+    stands before each is carried along, so that neither many matches nor a long text are copied or searched for each one.
     """
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if ahead else 0)).alias("value"))
+    last = lambda c: F.right(c, F.lit(NEAR))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(done: Column, piece: Column) -> Column:
         start = done["at"] + F.length(piece["gap"])
-        end = start + F.length(piece["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["value"].alias("value"))
-        return F.when(piece["value"].isNull(), done).otherwise(F.struct((start + ahead if ahead else end).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans")))
+        before = last(F.concat(done["tail"], last(piece["gap"])))
+        used = F.substring(piece["value"], 1, ahead) if ahead else piece["value"]
+        span = F.struct(start.alias("start"), (start + F.length(piece["value"])).alias("end"), piece["value"].alias("value"), before.alias("before"))
+        after = F.struct((start + F.length(used)).alias("at"), last(F.concat(before, used)).alias("tail"), F.concat(done["spans"], F.array(span)).alias("spans"))
+        return F.when(piece["value"].isNull(), done).otherwise(after)
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    return F.aggregate(pieces, empty, step, lambda done: done["spans"])
+    zero = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("spans")))
+
+    def walk(made: Column) -> Column:
+        def block(done: Column, first: Column) -> Column:
+            before = F.element_at(done, -1)
+            start = F.struct(before["at"].alias("at"), before["tail"].alias("tail"), none.alias("spans"))
+            return F.concat(done, F.array(F.aggregate(F.slice(made, first, F.lit(BLOCK)), start, step)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(made), F.lit(BLOCK)), zero, block, lambda done: F.flatten(F.transform(done, lambda b: b["spans"])))
+
+    # the pieces are the variable of a lambda function: as an expression within one they would be made anew for each block
+    return F.get(F.transform(F.array(pieces), walk), F.lit(0))
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -117,9 +134,7 @@ def _found(text: Column, kind: str) -> Column:
     spans = F.filter(matches(text, PATTERNS[kind], AHEAD.get(kind, 0)), lambda s: _valid(kind, s["value"]))
 
     def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.substring(text, first + 1, s["start"] - first).rlike(CONTEXT[kind])
-        score = F.when(near, F.lit(min(1.0, SCORES[kind] + RAISE))).otherwise(F.lit(SCORES[kind]))
+        score = F.when(s["before"].rlike(CONTEXT[kind]), F.lit(min(1.0, SCORES[kind] + RAISE))).otherwise(F.lit(SCORES[kind]))
         return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), score.alias("score"))
 
     out = F.filter(F.transform(spans, scored), lambda s: s["score"] >= LEAST)

@@ -230,3 +230,17 @@ def test_sieve_never_loses_a_member(spark):
 
 def test_registered():
     assert sorted(k.split("_")[0] for k in registered.queries() if k.startswith("op")) == sorted(f"op{n}" for n in range(1, 11))
+
+
+def test_many_spans_in_one_text(spark):
+    """Blocks of spans join without a seam, words before a span are seen across it, and time does not grow with the square."""
+    one = "call +1 (555) 010-9999 or a@b.de é "
+    n = 3 * pii.BLOCK + 1
+    rows = spark.createDataFrame([(1, one * n), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(rows)).collect()}
+    places = [(i * len(one), k) for i in range(n) for k in (0, 1)]
+    spans = ",".join(f"phone:{at + 5}:{at + 22}" if k == 0 else f"email:{at + 26}:{at + 32}" for at, k in places)
+    assert got[1]["spans"] == spans and got[1]["n_phone"] == got[1]["n_email"] == n
+    assert got[1]["scores"][0] > pii.SCORES["phone"] and len(set(got[1]["scores"][::2])) == 1
+    assert got[2]["spans"] == got[3]["spans"] == ""
+    assert pii.digest(pii.find(rows.where("false"))).count() == 0
