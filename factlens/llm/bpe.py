@@ -6,9 +6,10 @@ last token of that prefix if and only if it is compatible with the last token of
 prefix before it, that is, no merge across their border would have come first. Following
 the back-pointers from the full length emits the ids; no merge list is scanned.
 
-Edge cases: a null text is the empty text and has no tokens; texts of any length are
-streamed word by word; the strings of special tokens in a text are special tokens, as in
-the tokenizers library. The vocabulary file is a parameter and is read on each worker.
+Edge cases: a null text is the empty text and has no tokens; the words of a text are held
+at once, so memory goes with the longest text and not with the table; repeated rows are
+repeated, an empty table gives an empty one, and further columns are not read; the strings
+of special tokens in a text are special tokens, as in the tokenizers library. The vocabulary file is a parameter and is read on each worker.
 """
 
 from __future__ import annotations
