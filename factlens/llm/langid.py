@@ -14,6 +14,7 @@ table gives an empty one, and further columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, saved
 from . import kernels as K
 
 UNKNOWN = "und"
@@ -31,8 +33,10 @@ CLASSES = 64
 #: The fit reads at most about this many documents of each language, LANGUAGES at most, VIEWS windows of each.
 SAMPLE, LANGUAGES, VIEWS = 600, 200, 3
 BLOCK = 64
-#: Share of rightly known held-out documents whose score may lie below the least that keep_known asks for, and documents expected in that sample.
-LOSS, CALIBRATE = 0.005, 4000
+#: Share of rightly known held-out documents whose score may lie below the least that keep_known asks for.
+LOSS = 0.005
+#: Bits of a score by which one round of quantile() counts.
+DIGIT = 16
 
 
 def byte_classes() -> np.ndarray:
@@ -235,16 +239,59 @@ def keep_known(docs: DataFrame, net: Network, least: float) -> DataFrame:
 
 
 def least_score(docs: DataFrame, net: Network) -> float:
-    """The score that all but LOSS of the rightly known documents reach, from a bounded sample of labelled ones that were not learned from.
+    """The score that all but LOSS of the rightly known documents reach, from all labelled ones that were not learned from.
 
     The score of a network that knows nothing counts as one more document, so few documents set no strict limit.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & held_out())
-    n = labelled.count()
-    some = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_003)) < min(1.0, CALIBRATE / max(n, 1)) * 1_000_003)
-    scored = identify(some, net).join(some.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").distinct(), "doc_id")
-    right = [r["score"] for r in scored.where(F.col("lang_pred") == F.col("lang")).where(F.col("lang") != UNKNOWN).select("score").collect()]
-    return float(np.quantile([1 / len(net.languages), *right], LOSS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score = judge_texts(batch.column("text"), net)
+            right = np.array(pred, object) == np.array(batch.column("lang").to_pylist(), object)
+            yield pa.RecordBatch.from_arrays([pa.array(score[right])], ["score"])
+
+    labelled = docs.where((F.col("lang") != UNKNOWN) & held_out())
+    right = saved(labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(K.lean(run), "score double"))
+    least = quantile(right, 1 / len(net.languages), LOSS)
+    discard(right)
+    return least
+
+
+def quantile(scores: DataFrame, more: float, share: float) -> float:
+    """np.quantile of a column of scores from 0 up and of one score more, exactly and without gathering them.
+
+    The bits of such doubles are in the order of their values, so a value of given rank is found by counting
+    leading bits, DIGIT further ones in each round; the driver sees at most 2^DIGIT counts for each of two ranks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # adding 0.0 makes a negative zero a positive one
+            yield pa.RecordBatch.from_arrays([pa.array((batch.column(0).to_numpy(zero_copy_only=False) + 0.0).view(np.int64))], ["bits"])
+
+    bits = scores.mapInArrow(run, "bits long")
+    extra = int(np.array([more]).view(np.int64)[0])
+    at = share * scores.count()
+    low = int(at)
+    found = [(0, low), (0, low + (at > low))]
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        left = sorted({prefix for prefix, _ in found})
+        among = bits if shift + DIGIT == 64 else bits.where(F.shiftright("bits", shift + DIGIT).isin(left))
+        counts = Counter({r["lead"]: r["count"] for r in among.groupBy(F.shiftright("bits", shift).alias("lead")).count().collect()})
+        counts[extra >> shift] += 1
+        found = [_of_rank(counts, prefix, rank) for prefix, rank in found]
+    a, b = np.array([prefix for prefix, _ in found]).view(np.float64)
+    return float(a + (b - a) * (at - low))
+
+
+def _of_rank(counts: Counter[int], prefix: int, rank: int) -> tuple[int, int]:
+    """Of the leading bits that begin with this prefix, those that hold the value of this rank, and its rank among them."""
+    for lead in sorted(counts):
+        if lead >> DIGIT == prefix:
+            if rank < counts[lead]:
+                return lead, rank
+            rank -= counts[lead]
+    raise ValueError("no value of this rank")
 
 
 def _some(data: np.ndarray, offsets: np.ndarray, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

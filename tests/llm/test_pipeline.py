@@ -1,10 +1,13 @@
 """The pipeline on a small corpus, each stage against what plain Python says about its own input."""
 
+import binascii
 import random
 import re
 
 import corpus_pipeline
-from factlens.llm import components
+import numpy as np
+import pyarrow as pa
+from factlens.llm import components, langid
 from factlens.llm import queries as registered
 
 
@@ -77,3 +80,29 @@ def test_language_rejects_what_has_letters_but_no_learned_language(spark):
     got = {x["doc_id"] for x in corpus_pipeline.language(spark, docs, "").collect()}
     assert not got & {d for d, _, _ in junk + unlearned}
     assert 9200 in got and len(got - {9200}) >= 0.98 * len(rows)
+
+
+def test_least_score_is_the_quantile_of_all_held_out_documents(spark):
+    r = random.Random(21)
+    net = langid.Network(["de", "en", "fr"])
+    held = [d for d in range(40_000) if binascii.crc32(str(d).encode()) % 5 == 0][:7000]
+    ids = set(held)
+    rows = [(d, words(r, r.randint(1, 12), "abcdefghijklmnop"), r.choice(["de", "en", "fr"])) for d in held]
+    # unlabelled, labelled as unknown, without a text, without an id, repeated with another label, learned from
+    rows += [(held[0], "abc def", None), (held[1], "abc def", "und"), (held[2], None, "de"), (None, "abc def", "de"), (held[3], "qrs tuv", "fr"), (held[3], "qrs tuv", "de")]
+    rows += [(d, "abc def", "de") for d in range(100) if d not in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    known = [(t, lang) for d, t, lang in rows if d in ids and lang not in (None, "und")]
+    pred, score = langid.judge_texts(pa.array([t for t, _ in known], pa.string()), net)
+    right = [s for s, p, (_, lang) in zip(score, pred, known, strict=True) if p == lang]
+    assert len(right) > 1000
+    assert abs(langid.least_score(docs, net) - np.quantile([1 / 3, *right], langid.LOSS)) < 1e-9
+    assert langid.least_score(docs.where("lang is null"), net) == 1 / 3
+
+
+def test_quantile_without_gathering(spark):
+    r = random.Random(22)
+    for values, shares in [([], [0.5]), ([-0.0, 1.0], [0.0, 1.0]), ([r.random() for _ in range(300)], [0.005, 0.37]), ([r.choice([0.25, 0.25 + 2**-54, 1.0]) for _ in range(300)], [0.37])]:
+        scores = components.saved(spark.createDataFrame([(v,) for v in values], "score double").coalesce(2))
+        for share in shares:
+            assert abs(langid.quantile(scores, 0.25, share) - np.quantile([0.25, *values], share)) <= 1e-15, (values[:5], share)
